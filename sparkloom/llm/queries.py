@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules, sharding
+from . import decontamination, mixing, ngram_join, quality_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +31,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op4_decontamination, op7_sharding, op10_mixing)
+    f.__name__: f for f in (op3_quality_rules, op4_decontamination, op7_sharding, op8_ngram_join, op10_mixing)
 }
 
 ORACLE: dict[str, str] = {
@@ -60,4 +64,19 @@ found as (select r, count(*) as n_items, string_agg(item, ',' order by item) as
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(c.n_hit, 0)::bigint as n_hit, coalesce(f.n_items, 0)::bigint as n_items,
   sha256(coalesce(f.names, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
 from docs d left join cover c using (r) left join found f using (r)""",
+    "op8_ngram_join": r"""
+with recursive docs as (
+  select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+sets as (
+  select distinct r, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') as s
+  from (select r, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) as i from docs where len(w) > 0)),
+sizes as (select r, count(*) as n from sets group by r),
+shared as (select a.r as a, b.r as b, count(*) as k from sets a join sets b on a.s = b.s and a.r <> b.r group by all),
+links as (select a, b from shared join sizes x on x.r = a join sizes y on y.r = b where 100 * k >= 70 * (x.n + y.n - k)),
+reach as (select r as a, r as b from docs union select reach.a, links.b from reach join links on reach.b = links.a),
+roots as (select reach.a as r, min(docs.doc_id) as component_id from reach join docs on docs.r = reach.b group by reach.a),
+near as (select a as r, count(*) as n from links group by a)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, coalesce(k.n, 0)::bigint as n_similar, c.component_id
+from docs d left join sizes s using (r) left join near k using (r) join roots c using (r)""",
 }
