@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import decontamination, mixing, quality_rules, sharding
+from sparkloom.llm import decontamination, mixing, ngram_join, quality_rules, sharding
 from sparkloom.llm.plan import new_path
 
 
@@ -15,6 +15,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates, that with the smallest id."""
+    return ngram_join.keep_first(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark window."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -32,6 +37,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality),
+    ("n-gram Jaccard join", unlike),
     ("benchmark decontamination", decontaminated),
     ("mixing sources", mixed),
     ("sharding", sharded),
