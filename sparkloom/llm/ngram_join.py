@@ -6,7 +6,8 @@ that two sets share cancel out, so blocks that differ are at most as many as shi
 Hamming distance is a lower bound of the symmetric difference. At Jaccard similarity t that is at most
 D = (1 - t) / (1 + t) * (|A| + |B|), so if a set has more than D blocks that aren't empty, at least one of them is equal in
 both (pigeonhole), and if blocks are taken in one global order, the first such block is among the first D + 1 of either. These
-blocks are the join keys, made per size band (sizes 4**b to 4**(b+1); a set near the top of its band also takes part in the
+blocks are the join keys. To have few pairs to verify, T more blocks are taken where there are D + T: then at least T of a
+similar pair's blocks meet, and pairs that meet in fewer are dropped without looking at their sets. Keys are made per size band (sizes 4**b to 4**(b+1); a set near the top of its band also takes part in the
 next). P is raised for a whole band until every set of it has enough blocks, so no link can be lost.
 
 The global order puts blocks with rare shingles first, by a count sketch of fixed size over the whole corpus, so that passages
@@ -58,6 +59,13 @@ class Bound:
         """How many shingles at most a set of size n and a partner don't share."""
         return (100 - self.num) * (n + self.partner(n)) // (100 + self.num)
 
+    def meet(self, n):
+        """In how many blocks a similar pair meets at least whose smaller set has size n."""
+        return 1 + n // 16
+
+    def keys(self, n):
+        return self.differ(n) + self.meet(n)
+
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """The sorted hashes of each text's distinct shingles."""
@@ -100,7 +108,7 @@ def bands(n: int, bound: Bound) -> list[int]:
 
 
 def level_for(s: np.ndarray, band: int, bound: Bound) -> int:
-    need = bound.differ(len(s)) + 1
+    need = bound.keys(len(s))
     for level in range(LEVELS):
         salt = K.mix(np.array([(band << 8) + level + 1], U64))[0]
         if len(np.unique(K.mix(s ^ salt) % U64(blocks_of(band, level)))) >= need:
@@ -159,7 +167,7 @@ def rarity_of(surveyed: DataFrame) -> np.ndarray:
 
 
 def candidates(reps: DataFrame, width: int, bound: Bound, levels: dict[int, int], rarity: np.ndarray, buckets: int, grid: int) -> DataFrame:
-    """Pairs (a, b), a < b, of classes that share a key; reps: (_cid, _key, _text)."""
+    """Pairs (a, b), a < b, of classes that share enough keys; reps: (_cid, _key, _text)."""
     spark = reps.sparkSession
     shared = spark.sparkContext.broadcast((levels, rarity))
 
@@ -190,7 +198,7 @@ def candidates(reps: DataFrame, width: int, bound: Bound, levels: dict[int, int]
                     continue  # another text of the same id
                 for band in bands(len(s), bound):
                     token, rank = tokens(s, band, levels[band], rarity)
-                    order = np.lexsort((token, rank))[: bound.differ(len(s)) + 1]
+                    order = np.lexsort((token, rank))[: bound.keys(len(s))]
                     token, rank = token[order], rank[order]
                     # a key with many members: each goes to one row and one column of a grid of side `side`
                     side = np.ceil(np.exp2(rank / 4.0 + 0.25) / grid).astype(np.int64)
@@ -216,23 +224,29 @@ def candidates(reps: DataFrame, width: int, bound: Bound, levels: dict[int, int]
                 sigs.append(np.frombuffer(sig, U64))
                 cids.append(base + np.cumsum(np.frombuffer(step, np.int32 if len(step) == 4 * count else np.int64).astype(np.int64)))
                 sizes.append(np.frombuffer(n, np.uint16))
-        sig, cid, n = np.concatenate(sigs), np.concatenate(cids), np.concatenate(sizes).astype(np.int32)
-        del sigs, cids, sizes
+        sig = np.concatenate(sigs)
+        del sigs
         order = np.argsort(sig)
         sig = sig[order]
         same = sig[1:] == sig[:-1]
         inside = np.zeros(len(sig), bool)
         inside[1:] |= same
         inside[:-1] |= same
-        sig, cid, n = sig[inside], cid[order][inside], n[order][inside]
+        sig, order = sig[inside], order[inside]
+        cid, n = np.concatenate(cids)[order], np.concatenate(sizes)[order].astype(np.int32)
+        del cids, sizes, order, same, inside
+        names, cid = np.unique(cid, return_inverse=True)
         held: list[np.ndarray] = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            pairs = np.unique(np.concatenate(held), axis=0) if held else np.zeros((0, 2), np.int64)
+            pairs, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             for i in range(0, len(pairs), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 500_000, 0]), pa.array(pairs[i : i + 500_000, 1])], ["a", "b"])
+                a, b = np.divmod(pairs[i : i + 500_000], len(names))
+                yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b]), pa.array(counts[i : i + 500_000].astype(np.int32)), pa.array(bound.meet(np.minimum(least[a], least[b])).astype(np.int32))], ["a", "b", "met", "least"])
 
+        least = np.zeros(len(names), np.int64)
+        least[cid] = n
         at = np.arange(len(sig))
         d = 1
         while len(at):
@@ -243,20 +257,18 @@ def candidates(reps: DataFrame, width: int, bound: Bound, levels: dict[int, int]
             x, y, u, v = cid[at], cid[at + d], n[at], n[at + d]
             fit = (x != y) & ((np.minimum(u, v) * 100 >= np.maximum(u, v) * bound.num) | (np.maximum(u, v) == 65535))
             x, y = x[fit], y[fit]
-            held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            held.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
             size += len(x)
-            if size > 2_000_000:
-                held = [np.unique(np.concatenate(held), axis=0)]
-                size = len(held[0])
-                if size > 1_000_000:
-                    yield from out()
-                    held, size = [], 0
+            if size > 4_000_000:
+                yield from out()
+                held, size = [], 0
             d += 1
         yield from out()
 
     signed = reps.mapInArrow(sign, "bucket int, base long, count long, sig binary, step binary, n binary")
-    found = signed.groupBy("bucket").applyInArrow(meet, "a long, b long")
-    return stored(found.distinct(), "candidates")
+    found = signed.groupBy("bucket").applyInArrow(meet, "a long, b long, met int, least int")
+    enough = found.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least")
+    return stored(enough.select("a", "b"), "candidates")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, bound: Bound, group_pairs: int = 2_000_000, group_bytes: int = 24 << 20) -> DataFrame:
@@ -351,7 +363,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("_cid"), F.col("v").alias("_root"))
 
 
-def similar(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_id", text: str = "text", grid: int = GRID, bucket_keys: int = 4_000_000) -> DataFrame:
+def similar(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_id", text: str = "text", grid: int = GRID, bucket_keys: int = 2_000_000) -> DataFrame:
     """For each document: n_shingles, n_similar and component_id."""
     bound = Bound(percent)
     surveyed = survey(docs, on, text, width, bound)
@@ -363,7 +375,7 @@ def similar(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_i
     flat = docs.select(F.coalesce(F.col(on).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_text"))
     keyed = classes.select("_cid", "_rep", "_key")
     reps = flat.join(F.broadcast(keyed) if total["_cid"] <= BROADCAST_CLASSES else keyed, F.col("_id") == F.col("_rep")).select("_cid", "_key", "_text")
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total["_before"] // (2 * bucket_keys)))
+    buckets = max(1, -(-total["_before"] // (2 * bucket_keys)))  # about half as many keys as shingles
     pairs = candidates(reps, width, bound, levels, rarity_of(surveyed), buckets, grid)
     links = verify(pairs, flat, classes, width, bound)
     both = links.select(F.col("a").alias("_cid"), F.col("b").alias("_other")).unionByName(links.select(F.col("b").alias("_cid"), F.col("a").alias("_other")))
