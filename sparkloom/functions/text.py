@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 MASK = "▂"
@@ -99,7 +100,7 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(lit_or(c), "\\s+"), lambda t: t != "")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.str.normalize("NFKC")

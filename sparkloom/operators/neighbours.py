@@ -43,7 +43,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_: str = "id", vector
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, m = shared.value
             kept: list[list[tuple]] = [[] for _ in ids]
+            name = pa.int64()
             for batch in batches:
+                name = batch.schema.field(0).type
                 for i in range(0, batch.num_rows, 1024):
                     own = batch.slice(i, 1024)
                     names = own.column(0).to_pylist()
@@ -61,7 +63,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_: str = "id", vector
             found = [(ids[j], x, float(-s)) for j in range(len(ids)) for s, x in kept[j]]
             if found:
                 a, c, d = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(d)], ["query", id_, "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, name), pa.array(c, name), pa.array(d)], ["query", id_, "similarity"])
 
         one = r.mapInArrow(best, f"query {kind}, {id_} {kind}, similarity double")
         out = one if out is None else out.unionByName(one)
@@ -89,7 +91,7 @@ def similar_pairs(rows: DataFrame, least: float, id_: str = "id", vector: str =
                     names = np.array(own.column(0).to_pylist())
                     sims = m @ _unit(own.column(1)).T
                     x, y = np.nonzero((sims >= least) & (ids[:, None] < names[None, :]))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(names[y]), pa.array(sims[x, y])], ["a", "b", "similarity"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[x]).cast(own.schema.field(0).type), pa.array(names[y]).cast(own.schema.field(0).type), pa.array(sims[x, y])], ["a", "b", "similarity"])
 
         one = r.mapInArrow(meet, f"a {kind}, b {kind}, similarity double")
         out = one if out is None else out.unionByName(one)
