@@ -60,6 +60,12 @@ def _names(keys: np.ndarray) -> tuple[np.ndarray, int]:
     return rank, int(new.sum())
 
 
+def _below(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of b how many of a are smaller; both are sorted, so the stable sort only merges two runs."""
+    order = np.argsort(np.concatenate([b, a]), kind="stable")
+    return np.flatnonzero(order < len(b)) - np.arange(len(b))
+
+
 def _triples(s: np.ndarray, at: np.ndarray, top: int) -> np.ndarray:
     """One key for each triple of s that orders like it."""
     a, b, c = s[at], s[at + 1], s[at + 2]
@@ -82,7 +88,8 @@ def suffix_ranks(s: np.ndarray, reach: int) -> np.ndarray:
     s = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate([one, two])
-    names, kinds = _names(_triples(s, sample, int(s.max())))
+    top = int(s.max())
+    names, kinds = _names(_triples(s, sample, top))
     if kinds < len(sample) and reach > 3:
         # suffixes of the string of names; a zero keeps the two halves apart
         both = np.concatenate([names[: len(one)], [0], names[len(one) :]])
@@ -97,30 +104,28 @@ def suffix_ranks(s: np.ndarray, reach: int) -> np.ndarray:
     order = np.argsort(key)
     zero, key = zero[order], key[order]
     real = sample[sample < n]
-    sample = real[np.argsort(rank[real])]
-    # merge: the number of sampled suffixes before each of the others, by binary search
-    low, high = np.zeros(len(zero), np.int64), np.full(len(zero), len(sample), np.int64)
-    s0, s1, r1, r2 = s[zero], s[zero + 1], rank[zero + 1], rank[zero + 2]
-    for _ in range(int(len(sample)).bit_length() + 1):
-        open_ = low < high
-        middle = np.minimum((low + high) >> 1, len(sample) - 1)
-        j = sample[middle]
-        kind1 = j % 3 == 1
-        t0, t1 = s[j], s[j + 1]
-        # against 1 modulo 3: (symbol, rank); against 2 modulo 3: (symbol, symbol, rank)
-        less1 = (t0 < s0) | ((t0 == s0) & (rank[j + 1] < r1))
-        less2 = (t0 < s0) | ((t0 == s0) & ((t1 < s1) | ((t1 == s1) & (rank[j + 2] < r2))))
-        less = np.where(kind1, less1, less2)
-        low = np.where(open_ & less, middle + 1, low)
-        high = np.where(open_ & ~less, middle, high)
+    # merge: the number of sampled suffixes before each of the others. Against 1 modulo 3 a symbol and a rank decide, against
+    # 2 modulo 3 two symbols and a rank; either kind is in order by its own key
+    bits = max(1, int(rank.max()).bit_length())
+    near, far = real[real % 3 == 1], real[real % 3 == 2]
+    near, far = near[np.argsort(rank[near])], far[np.argsort(rank[far])]
+    two_symbols = lambda i: (s[i] << symbol_bits) | s[i + 1]
+    symbol_bits = max(1, int(top).bit_length())
+    low = _below((s[near] << 32) | rank[near + 1], key)
+    if 2 * symbol_bits + bits <= 63:
+        low = low + _below((two_symbols(far) << bits) | rank[far + 2], (two_symbols(zero) << bits) | rank[zero + 2])
+    else:
+        pairs = _names(np.concatenate([two_symbols(far), two_symbols(zero)]))[0]
+        low = low + _below((pairs[: len(far)] << 32) | rank[far + 2], (pairs[len(far) :] << 32) | rank[zero + 2])
     out = np.empty(n, np.int64)
-    # equal keys keep equal ranks: a rank is 2 x (distinct before)
-    place = low + np.searchsorted(key, key, "left")
-    out[zero] = 2 * place
-    first = rank[sample]
-    before = np.searchsorted(first, first, "left")
-    out[sample] = 2 * (before + np.searchsorted(low, before, "right")) + 1
-    return _names(out)[0] if n < 2 else out
+    # equal keys keep equal ranks, so a rank is the number of suffixes before, counted once for each set of equal ones
+    place = np.arange(len(zero))
+    place[1:][key[1:] == key[:-1]] = 0
+    out[zero] = 2 * (low + np.maximum.accumulate(place))
+    before = np.cumsum(np.bincount(rank[real])) - np.bincount(rank[real])  # by rank
+    zeros = np.cumsum(np.bincount(low, minlength=len(real) + 1))
+    out[real] = (2 * (before + zeros[before]) + 1)[rank[real]]
+    return out
 
 
 def repeated(text: np.ndarray, valid: np.ndarray, size: int) -> np.ndarray:
@@ -128,8 +133,7 @@ def repeated(text: np.ndarray, valid: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(len(valid), bool)
     if not len(valid):
         return out
-    ranks = suffix_ranks(text.astype(np.int64) + 1, size)[valid]
-    order = np.lexsort((valid, ranks))
+    order = np.argsort(suffix_ranks(text.astype(np.int64) + 1, size)[valid])
     at = valid[order]
     same = np.ones(len(at) - 1, bool)
     hasher = K.Hasher(text)
