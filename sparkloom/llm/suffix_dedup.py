@@ -43,7 +43,7 @@ PIECE = 1 << 18
 SEGMENT = 1 << 22
 POSITION_BITS = 24
 HOT = 20_000
-BUCKET_BYTES = 2_500_000
+BUCKET_BYTES = 1_000_000
 
 
 # --- the difference-cover suffix order -------------------------------------------------------------------------------
@@ -196,7 +196,8 @@ def anchor_runs(raw: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> t
     starts = np.flatnonzero(head)
     stop = np.append(np.flatnonzero(head | ~inside), len(v))
     ends = stop[np.searchsorted(stop, starts, "right")]
-    return starts, ends - starts, h[(v[starts] & low).astype(np.int64)]
+    # anchors are the least of many hashes, so they are mixed again to be even over their range
+    return starts, ends - starts, K.mix(h[(v[starts] & low).astype(np.int64)] + U64(1))
 
 
 def segments(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch, np.ndarray]]:
@@ -285,17 +286,16 @@ def intervals(texts: DataFrame, bitmap: np.ndarray, bits: int, hot: np.ndarray,
         def __init__(self):
             self.parts, self.size = [], 0
 
-        def add(self, raw, cid, at, start, n, key):
+        def add(self, raw, hasher, cid, at, start, n, key):
             ends = np.cumsum(n + size - 1)
             index = np.arange(int(ends[-1])) - np.repeat(ends - (n + size - 1), n + size - 1) + np.repeat(at, n + size - 1)
-            self.parts.append((cid, start, n, key, raw[index]))
+            self.parts.append((cid, start, n, key, hasher(at, at + n + size - 1), raw[index]))
             self.size += len(index)
 
         def emit(self) -> Iterator[pa.RecordBatch]:
-            cid, start, n, key, raw = (np.concatenate(x) for x in zip(*self.parts))
+            cid, start, n, key, content, raw = (np.concatenate(x) for x in zip(*self.parts))
             ends = np.cumsum(n + size - 1)
             begins = ends - (n + size - 1)
-            content = K.Hasher(raw)(begins, ends)
             order = np.lexsort((start, cid, content))
             again = np.zeros(len(order), bool)
             again[order[1:]] = content[order[1:]] == content[order[:-1]]
@@ -323,6 +323,7 @@ def intervals(texts: DataFrame, bitmap: np.ndarray, bits: int, hot: np.ndarray,
                 continue
             row = np.searchsorted(offsets, at, "right") - 1
             cid = piece.column("_cid").to_numpy()[row]
+            hasher = K.Hasher(raw)
             start = at - offsets[row] + base[row]
             if len(hot):
                 place = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
@@ -330,15 +331,16 @@ def intervals(texts: DataFrame, bitmap: np.ndarray, bits: int, hot: np.ndarray,
                 if many.any():
                     step = np.arange(int(n[many].sum())) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
                     each = np.repeat(at[many], n[many]) + step
-                    key = K.Hasher(raw)(each, each + size)
-                    held.add(raw, np.repeat(cid[many], n[many]), each, np.repeat(start[many], n[many]) + step, np.ones(len(each), np.int64), key)
+                    key = hasher(each, each + size)
+                    held.add(raw, hasher, np.repeat(cid[many], n[many]), each, np.repeat(start[many], n[many]) + step, np.ones(len(each), np.int64), key)
                     at, n, h, cid, start = (x[~many] for x in (at, n, h, cid, start))
             if len(at):
-                held.add(raw, cid, at, start, n, h)
+                held.add(raw, hasher, cid, at, start, n, h)
             if held.size > 12 << 20:
                 yield from held.emit()
         if held.parts:
             yield from held.emit()
+        K.trim()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cids, starts, ns, raws = [], [], [], []
@@ -379,6 +381,7 @@ def intervals(texts: DataFrame, bitmap: np.ndarray, bits: int, hot: np.ndarray,
         a, b, c = (np.concatenate(x) for x in zip(*out))
         for i in range(0, len(a), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000].astype(np.int64)) for x in (a, b, c)], ["_cid", "start", "n"])
+        K.trim()
 
     sent = texts.select("_cid", "_text").mapInArrow(send, "bucket int, cid binary, start binary, n binary, raw binary")
     return sent.groupBy("bucket").applyInArrow(sort, "_cid long, start long, n long")

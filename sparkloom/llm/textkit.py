@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -46,6 +48,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size][0], _powers[size][1]
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = h ^ (h >> U64(30))
