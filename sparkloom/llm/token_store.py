@@ -221,7 +221,22 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, on: str = "d
             if out is not None:
                 out.close()
 
-    return stored(ranged.mapInArrow(run, "_id long, _row long, _shard int, _file string, _offset long, _count long"), "written")
+    written = stored(ranged.mapInArrow(run, "_id long, _row long, _shard int, _file string, _offset long, _count long"), "written")
+    # rows of one id may go on in the next shard, so their numbers do too
+    edges = written.groupBy("_shard").agg(F.min_by("_id", "_offset").alias("first"), F.max_by("_id", "_offset").alias("last"), F.max_by("_row", "_offset").alias("row")).orderBy("_shard").collect()  # a row for each shard
+    carry, before, carried = [], None, 0
+    for e in edges:
+        carried = carried if before is not None and before["last"] == e["first"] else 0
+        if carried:
+            carry.append((e["_shard"], e["first"], carried))
+        carried = e["row"] + 1 + (carried if e["first"] == e["last"] else 0)
+        before = e
+    if carry:
+        table = F.broadcast(spark.createDataFrame(carry, "_shard int, _first long, _carry long"))
+        joined = written.join(table, "_shard", "left")
+        more = F.when(F.col("_id").eqNullSafe(F.col("_first")), F.coalesce("_carry", F.lit(0))).otherwise(0)
+        written = joined.withColumn("_row", F.col("_row") + more).select(*written.columns)
+    return written
 
 
 def index(written: DataFrame, path: str) -> tuple[DataFrame, dict[int, str], int]:
