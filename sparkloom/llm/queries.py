@@ -109,4 +109,28 @@ roots as (select reach.a as r, min(docs.doc_id) as component_id from reach join
 near as (select a as r, count(*) as n from links group by a)
 select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, coalesce(k.n, 0)::bigint as n_similar, c.component_id
 from docs d left join sizes s using (r) left join near k using (r) join roots c using (r)""",
+    "op5_chat": r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+formatted as (
+  select *, 14 + length(regexp_replace(role, '(\\|###|</turn>|<\||:)', '\\\1', 'g')) + length(regexp_replace(text, '(\\|###|</turn>|<\|)', '\\\1', 'g')) as chars from rows)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256, sum(chars)::bigint as formatted_chars
+from formatted group by conv_id""",
+    "op9_suffix_dedup": r"""
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select r, doc_id::hugeint * 1000000000 + i as k, i, substr(h, 2 * i + 1, 200) as s from (select *, unnest(generate_series(0, n - 100)) as i from d where n >= 100)),
+dup as (select r, i from (select r, i, k, min(k) over (partition by s) as m from w) where k > m),
+isl as (select r, i, case when i - lag(i) over (partition by r order by i) <= 100 then 0 else 1 end as new from dup),
+grp as (select r, i, sum(new) over (partition by r order by i) as g from isl),
+spans as (select r, min(i) as a, max(i) + 100 as b from grp group by r, g),
+parts as (
+  select r, coalesce(lag(b) over (partition by r order by a), 0) as p, a as q from spans
+  union all select d.r, coalesce(max(b), 0), any_value(n) from d left join spans using (r) group by d.r),
+kept as (select r, string_agg(substr(h, 2 * p + 1, 2 * (q - p)), '' order by p) as k from parts join d using (r) where q > p group by r),
+sums as (select r, sum(b - a) as removed, count(*) as spans from spans group by r)
+select doc_id, n::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(coalesce(unhex(k), ''::blob)) as kept_sha256
+from d left join kept using (r) left join sums using (r)""",
 }
