@@ -29,7 +29,9 @@ def plain(v):
         return None
     if isinstance(v, (bool, np.bool_)):
         return bool(v)
-    return int(v) if isinstance(v, (int, float, np.number)) and float(v).is_integer() else v
+    if isinstance(v, (int, float, np.number)):
+        return int(v) if float(v).is_integer() else float(v)
+    return v
 
 
 def table(df):
