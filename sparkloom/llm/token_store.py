@@ -19,6 +19,7 @@ columns aren't read.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,11 @@ U64 = np.uint64
 MAGIC = b"SLTOKEN1"
 HEADER = 16
 #: words that a worker keeps at most, about 100 MB
-WORDS = 400_000
+WORDS = 500_000
+#: and letters of words, likewise
+CORES = 300_000
+#: Latin-1 letters, then signs that no contraction begins with
+_CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|()]*)")
 INDEX_KEYS = 200_000
 
 
@@ -45,7 +50,11 @@ INDEX_KEYS = 200_000
 
 
 class Encoder:
-    """Encodes whole texts to bytes of ids."""
+    """Encodes whole texts to bytes of ids.
+
+    Two tables: words as they stand, and cores. A word of Latin-1 letters with ASCII signs behind is its lower-case letters and its
+    signs, where the tokenizer lower-cases and cuts between letters and signs; so most new words are made of known cores.
+    """
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,22 +64,43 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(with_added_tokens=True), end + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end], self.dtype).tobytes()
         self.words: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
         probe = " Probe,  it's 1\t23 café-s\n\n<|end|> ß! 你好 x́ .. "
         self.by_word = self._ids([probe])[0] == b"".join(self._ids([w.decode() for w in probe.encode().split()]))
+        cases = ["Ab", "ÉÀçß", "Öñ", "The", "s", "É", "Ç"]
+        tails = ["", ",", ".", "!!", ",***", ".&&&", "%%%", "$$$", "###", "?!", ";", ":", ")"]
+        self.by_core = self.by_word and self._ids([c + t for c in cases for t in tails]) == [x + y for x in self._ids([c.lower() for c in cases]) for y in (self._ids([t])[0] for t in tails)]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _new(self, words: list[str]) -> list[bytes]:
+        if not self.by_core:
+            return self._ids(words)
+        split = [(m.group(1).lower(), m.group(2)) if (m := _CORE.fullmatch(w)) else (w, None) for w in words]
+        wanted = {c for c, tail in split if tail is not None} | {t for _, t in split if t}
+        new = list(wanted.difference(self.cores))
+        if len(self.cores) + len(new) > CORES:
+            self.cores.clear()
+            new = list(wanted)
+        self.cores.update(zip(new, self._ids(new)))
+        self.cores[""] = b""
+        other = [w for w, tail in split if tail is None]
+        others = dict(zip(other, self._ids(other)))
+        get = self.cores.__getitem__
+        return [get(c) + get(t) if t is not None else others[c] for c, t in split]
+
     def __call__(self, raw: bytes, offsets: np.ndarray) -> list[bytes]:
         texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         if not self.by_word:
             return [x + self.end for x in self._ids([t.decode() for t in texts])]
         split = [t.split() for t in texts]
-        new = list({w for words in split for w in words}.difference(self.words))
+        every = set().union(*split)
+        new = list(every.difference(self.words))
         if len(self.words) + len(new) > WORDS:
             self.words.clear()
-            new = list({w for words in split for w in words})
-        self.words.update(zip(new, self._ids([w.decode() for w in new])))
+            new = list(every)
+        self.words.update(zip(new, self._new([w.decode() for w in new])))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) + self.end for words in split]
 
