@@ -106,13 +106,15 @@ DIGITS = {
     for w in words.split()
 }
 _DIGIT = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
-_GAP = r"(?:[\x20\t]*[,/\x20\t-][\x20\t]*)"
-_RUN = re.compile(rf"(?i)(?<![^\W_])(?:plus{_GAP})?(?:{_DIGIT}|[0-9])(?:{_GAP}(?:(?:double|triple){_GAP})?(?:{_DIGIT}|[0-9])(?![^\W_]))+")
-_RUN_TRIGGER = re.compile(rf"(?i)(?<![^\W_]){_DIGIT}{_GAP}(?:(?:double|triple){_GAP})?{_DIGIT}{_GAP}{_DIGIT}(?![^\W_])")
-_WORD = re.compile(rf"(?i)plus|double|triple|{_DIGIT}|[0-9]")
+_DOT_WORD, _AT_WORD = r"(?:dot|d0t|punto|punkt|point)", r"(?:at|arroba)"
+_GAP = r"(?:[\x20\t]*[,/\x20\t()-][\x20\t(]*)"
+_BETWEEN = rf"(?:[\x20\t]+{_DOT_WORD}[\x20\t]+|{_GAP})"
+_RUN = re.compile(rf"(?i)(?<![^\W_])(?:plus{_GAP}|\+[\x20\t(]*)?(?:{_DIGIT}|[0-9]+)(?:{_BETWEEN}(?:(?:double|triple){_GAP})?(?:{_DIGIT}|[0-9]+)(?![^\W_]))+")
+_RUN_TRIGGER = re.compile(rf"(?i)(?<![^\W_]){_DIGIT}{_BETWEEN}(?:(?:double|triple){_GAP})?{_DIGIT}{_BETWEEN}{_DIGIT}(?![^\W_])")
+_WORD = re.compile(rf"(?i)plus|\+|double|triple|{_DOT_WORD}|{_DIGIT}|[0-9]+")
+_DOTS = frozenset("dot d0t punto punkt point".split())
 
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_DOT_WORD, _AT_WORD = r"(?:dot|d0t|punto|punkt|point)", r"(?:at|arroba)"
 _DOT = re.compile(rf"(?i)[\x20\t]*{_OPEN}[\x20\t]*(?:{_DOT_WORD}|\.)[\x20\t]*{_CLOSE}[\x20\t]*|(?<=[A-Za-z0-9])[\x20\t]+{_DOT_WORD}[\x20\t]+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])_{_DOT_WORD}_(?=[A-Za-z0-9])|(?<=[0-9])[\x20\t]+\.[\x20\t]+(?=[0-9])|(?<=[A-Za-z0-9])[\x20\t]+\.[\x20\t]+(?=[a-z])")
 _AT = re.compile(rf"(?i)[\x20\t]*{_OPEN}[\x20\t]*(?:{_AT_WORD}|@)[\x20\t]*{_CLOSE}[\x20\t]*|(?<=[A-Za-z0-9])[\x20\t]+arroba[\x20\t]+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])_(?:at|arroba)_(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[\x20\t]*@[\x20\t]*(?=[A-Za-z0-9])")
 _BARE_AT = re.compile(r"(?i)(?<=[A-Za-z0-9])[\x20\t]+at[\x20\t]+(?=([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+))")
@@ -152,8 +154,10 @@ def _spelled(m: re.Match) -> str | None:
     found, spelled, times, out = _WORD.findall(m.group()), 0, 1, []
     for w in found:
         w = w.lower()
-        if w == "plus":
+        if w in ("plus", "+"):
             out.append("+")
+        elif w in _DOTS:
+            out.append(".")
         elif w in ("double", "triple"):
             times = 2 if w == "double" else 3
         else:

@@ -61,6 +61,8 @@ PRIVATE = [
     ("plus one five five five one two three four five six seven", "plus one five five five one two three four five six seven", "phone"),
     ("four one one one one one one one one one one one one one one one", "four one one one one one one one one one one one one one one one", "card"),
     ("ip 192 dot 168 dot 1 dot 20 ok", "192 dot 168 dot 1 dot 20", "ip"), ("10[.]0[.]0[.]1", "10[.]0[.]0[.]1", "ip"), ("аnna@exаmple.com", "аnna@exаmple.com", "email"),
+    ("it is one nine two dot one six eight dot zero dot one.", "one nine two dot one six eight dot zero dot one", "ip"),
+    ("tel + one (five five five) 012 three four five six now", "+ one (five five five) 012 three four five six", "phone"),
     ("a​b@c​d.com", "a​b@c​d.com", "email"),
 ]
 
