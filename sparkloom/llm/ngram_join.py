@@ -211,11 +211,12 @@ def candidates(reps: DataFrame, width: int, bound: Bound, levels: dict[int, int]
                     cids.append(np.full(len(token), cid, np.int64))
                     sizes.append(np.full(len(token), min(len(s), 65535), np.uint16))
                     held += len(token)
-            if held > 1_000_000:
+            if held > 500_000:
                 yield from emit(sigs, cids, sizes)
                 sigs, cids, sizes, held = [], [], [], 0
         if held:
             yield from emit(sigs, cids, sizes)
+        K.trim()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, cids, sizes = [], [], []
@@ -259,11 +260,13 @@ def candidates(reps: DataFrame, width: int, bound: Bound, levels: dict[int, int]
             x, y = x[fit], y[fit]
             held.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
             size += len(x)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield from out()
                 held, size = [], 0
             d += 1
         yield from out()
+        del sig, cid, n, at, held
+        K.trim()
 
     signed = reps.mapInArrow(sign, "bucket int, base long, count long, sig binary, step binary, n binary")
     found = signed.groupBy("bucket").applyInArrow(meet, "a long, b long, met int, least int")
@@ -320,6 +323,8 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, bo
                 ends = np.cumsum(sizes)
                 both = hit[ends] - hit[ends - sizes]
                 keep[k : k + len(others)] = 100 * both >= bound.num * (len(own) + sizes - both)
+        del values
+        K.trim()
         return pa.table({"a": a[keep], "b": b[keep]})
 
     linked = joined.select(slot(), "a", "b").groupBy("_slot").cogroup(sent.groupBy("_slot")).applyInArrow(check, "a long, b long")
@@ -363,7 +368,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("_cid"), F.col("v").alias("_root"))
 
 
-def similar(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_id", text: str = "text", grid: int = GRID, bucket_keys: int = 2_000_000) -> DataFrame:
+def similar(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_id", text: str = "text", grid: int = GRID, bucket_keys: int = 1_000_000) -> DataFrame:
     """For each document: n_shingles, n_similar and component_id."""
     bound = Bound(percent)
     surveyed = survey(docs, on, text, width, bound)
