@@ -9,8 +9,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: ids that are broadcast at most, 8 MB of them; more are joined by shuffling
-BROADCAST_IDS = 1_000_000
 _own: dict[str, str] = {}
 
 
@@ -37,20 +35,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(*frames: DataFrame) -> None:
-    """Removes the files of stored() tables that no later step reads."""
-    for df in frames:
-        spark = df.sparkSession
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str, limit: int = BROADCAST_IDS) -> DataFrame:
-    """Semi- or anti-join with a stored table of ids: broadcast where it has at most `limit` rows, else shuffled."""
-    return df.join(F.broadcast(ids) if ids.count() <= limit else ids, on, how)
-
-
 def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], name: str, partitions: int | None = None) -> tuple[DataFrame, dict[str, int]]:
     """Global order and running sums without a one-task window: a range sort, sums within each partition, then offsets.
 
