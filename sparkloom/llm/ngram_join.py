@@ -368,7 +368,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("_cid"), F.col("v").alias("_root"))
 
 
-def similar(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_id", text: str = "text", grid: int = GRID, bucket_keys: int = 1_000_000) -> DataFrame:
+def similar(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_id", text: str = "text", grid: int = GRID, bucket_keys: int = 3_000_000) -> DataFrame:
     """For each document: n_shingles, n_similar and component_id."""
     bound = Bound(percent)
     surveyed = survey(docs, on, text, width, bound)
