@@ -331,7 +331,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, bo
     return stored(linked, "links")
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(v, root) for every v that has a link, root being the smallest of its component; by alternating stars."""
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +353,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
     edges = stored(links.select("a", "b").mapInArrow(contract, "u long, v long").distinct(), "edges")
     before = None
-    for _ in range(most):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
