@@ -37,10 +37,9 @@ from .plan import new_path, stored
 U64 = np.uint64
 MAGIC = b"SLTOKEN1"
 HEADER = 16
-#: words that a worker keeps at most, about 100 MB
-WORDS = 500_000
-#: and letters of words, likewise
-CORES = 300_000
+#: words that a worker keeps at most, about 200 bytes each, and letters of words likewise; of these there are fewer new ones
+WORDS = 300_000
+CORES = 800_000
 #: Latin-1 letters, then signs that no contraction begins with
 _CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|()]*)")
 INDEX_KEYS = 200_000
