@@ -91,9 +91,7 @@ HOMOGLYPHS = _homoglyphs()
 INVISIBLE = "​‌‍⁠﻿­‎‏᠎"
 HOMOGLYPHS |= dict.fromkeys(INVISIBLE, "")
 _GLYPH = re.compile("[" + "".join(map(re.escape, HOMOGLYPHS)) + "]")
-#: signs that prose has too; they don't make a text worth transducing
-_COMMON = set(" ·•‐‑‒–—―  ²³¹")
-_TRIGGERS = frozenset(HOMOGLYPHS) - _COMMON
+_TRIGGERS = frozenset(HOMOGLYPHS)
 #: lead bytes of characters that Latin prose hasn't
 _FOREIGN = np.array([b == 0xC2 or b >= 0xC4 for b in range(256)])
 

@@ -64,6 +64,8 @@ PRIVATE = [
     ("it is one nine two dot one six eight dot zero dot one.", "one nine two dot one six eight dot zero dot one", "ip"),
     ("tel + one (five five five) 012 three four five six now", "+ one (five five five) 012 three four five six", "phone"),
     ("a​b@c​d.com", "a​b@c​d.com", "email"),
+    ("call +1 555\u2011123\u20114567 now", "+1 555\u2011123\u20114567", "phone"), ("on 4111\xa01111\xa01111\xa01111.", "4111\xa01111\xa01111\xa01111", "card"),
+    ("at 192.168·1·20 ok", "192.168·1·20", "ip"), ("tel +1\u2009555\u202f123\u20134567", "+1\u2009555\u202f123\u20134567", "phone"), ("ip ¹9².168.1.²", "¹9².168.1.²", "ip"),
 ]
 
 
@@ -72,6 +74,10 @@ def test_disguises(text, span, kind):
     assert [(pii.KINDS[k], text[a:b], p) for a, b, k, p in pii.find(text)] == [(kind, span, False)]
 
 
+def test_glyph_gate():
+    assert pii._TRIGGERS == set(pii.HOMOGLYPHS) and all(pii._FOREIGN[list(c.encode())].any() for c in pii.HOMOGLYPHS)
+
+
 @pytest.mark.parametrize("text", ["re at the. Onand erth at example.com", "one two. Three four", "un un un", "meet @ noon", "point by point", ""])
 def test_clean(text):
     assert pii.find(text) == []
