@@ -4,7 +4,8 @@ Plain identifiers are found by patterns on the text itself. Disguised ones are f
 which rewrites some substrings and carries, for every character that it writes, the source characters it stands for:
 
 1. homoglyphs: full-width, mathematical and foreign digits and letters become ASCII, invisible characters disappear;
-2. spelled digits: runs of at least three digit words (English, French, German, Spanish) become digits, "plus" a sign;
+2. spelled digits: runs with at least three digit words (English, French, German, Spanish), or with fewer if the run is an
+   identifier as a whole, become digits, "plus" a sign;
 3. at and dot disguises: "(at)", "[dot]", " dot ", "arroba", spaced signs; a bare "at" only before a domain whose dots
    are disguised, as it is a common word.
 
@@ -108,7 +109,8 @@ _DOT_WORD, _AT_WORD = r"(?:dot|d0t|punto|punkt|point)", r"(?:at|arroba)"
 _GAP = r"(?:[\x20\t]*[,/\x20\t()-][\x20\t(]*)"
 _BETWEEN = rf"(?:[\x20\t]+{_DOT_WORD}[\x20\t]+|{_GAP})"
 _RUN = re.compile(rf"(?i)(?<![^\W_])(?:plus{_GAP}|\+[\x20\t(]*)?(?:{_DIGIT}|[0-9]+)(?:{_BETWEEN}(?:(?:double|triple){_GAP})?(?:{_DIGIT}|[0-9]+)(?![^\W_]))+")
-_RUN_TRIGGER = re.compile(rf"(?i)(?<![^\W_]){_DIGIT}{_BETWEEN}(?:(?:double|triple){_GAP})?{_DIGIT}{_BETWEEN}{_DIGIT}(?![^\W_])")
+#: two neighbours of a run of which one is spelled: every run with a spelled digit has such
+_RUN_TRIGGER = re.compile(rf"(?i)(?<![^\W_])(?:{_DIGIT}{_BETWEEN}(?:(?:double|triple){_GAP})?(?:{_DIGIT}|[0-9]+)|[0-9]+{_BETWEEN}(?:(?:double|triple){_GAP})?{_DIGIT})(?![^\W_])")
 _WORD = re.compile(rf"(?i)plus|\+|double|triple|{_DOT_WORD}|{_DIGIT}|[0-9]+")
 _DOTS = frozenset("dot d0t punto punkt point".split())
 
@@ -116,7 +118,8 @@ _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _DOT = re.compile(rf"(?i)[\x20\t]*{_OPEN}[\x20\t]*(?:{_DOT_WORD}|\.)[\x20\t]*{_CLOSE}[\x20\t]*|(?<=[A-Za-z0-9])[\x20\t]+{_DOT_WORD}[\x20\t]+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])_{_DOT_WORD}_(?=[A-Za-z0-9])|(?<=[0-9])[\x20\t]+\.[\x20\t]+(?=[0-9])|(?<=[A-Za-z0-9])[\x20\t]+\.[\x20\t]+(?=[a-z])")
 _AT = re.compile(rf"(?i)[\x20\t]*{_OPEN}[\x20\t]*(?:{_AT_WORD}|@)[\x20\t]*{_CLOSE}[\x20\t]*|(?<=[A-Za-z0-9])[\x20\t]+arroba[\x20\t]+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])_(?:at|arroba)_(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[\x20\t]*@[\x20\t]*(?=[A-Za-z0-9])")
 _BARE_AT = re.compile(r"(?i)(?<=[A-Za-z0-9])[\x20\t]+at[\x20\t]+(?=([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+))")
-_SIGN_TRIGGER = re.compile(rf"(?i){_OPEN}[\x20\t]*(?:{_DOT_WORD}|{_AT_WORD}|\.|@)[\x20\t]*{_CLOSE}|[\x20_](?:dot|d0t|punto|punkt|point|arroba)[\x20_]|[\x20\t]@|@[\x20\t]|[0-9]\x20\.\x20")
+#: in every match of _DOT, and in every one of _AT that isn't just a sign; _BARE_AT needs a dot that was rewritten
+_SIGN_TRIGGER = re.compile(rf"(?i){_OPEN}[\x20\t]*(?:{_DOT_WORD}|{_AT_WORD}|\.|@)[\x20\t]*{_CLOSE}|[\x20\t_](?:{_DOT_WORD}|arroba)[\x20\t_]|_at_|[\x20\t]@|@[\x20\t]|[\x20\t]\.[\x20\t]")
 
 
 class Tape:
@@ -162,7 +165,11 @@ def _spelled(m: re.Match) -> str | None:
             spelled += w in DIGITS
             out.append(DIGITS.get(w, w) * times)
             times = 1
-    return "".join(out) if spelled >= 3 else None
+    if spelled >= 3:
+        return "".join(out)
+    # fewer are a disguise if the run as a whole is an identifier and has none without them
+    whole = "".join(out)
+    return whole if spelled and any(b - a == len(whole) for a, b, _ in plain(whole)) and not plain(_DOT.sub(".", m.group())) else None
 
 
 def transduce(text: str) -> Tape:

@@ -66,6 +66,9 @@ PRIVATE = [
     ("a​b@c​d.com", "a​b@c​d.com", "email"),
     ("call +1 555\u2011123\u20114567 now", "+1 555\u2011123\u20114567", "phone"), ("on 4111\xa01111\xa01111\xa01111.", "4111\xa01111\xa01111\xa01111", "card"),
     ("at 192.168·1·20 ok", "192.168·1·20", "ip"), ("tel +1\u2009555\u202f123\u20134567", "+1\u2009555\u202f123\u20134567", "phone"), ("ip ¹9².168.1.²", "¹9².168.1.²", "ip"),
+    ("to jane@mail . org", "jane@mail . org", "email"), ("to jane@mail\tdot\torg", "jane@mail\tdot\torg", "email"), ("10  .  0\t.\t0 . 1", "10  .  0\t.\t0 . 1", "ip"),
+    ("to jane_at_mail.org", "jane_at_mail.org", "email"), ("plus one five 5 five 1 two 3 four 5 six 7", "plus one five 5 five 1 two 3 four 5 six 7", "phone"),
+    ("192 dot 168 dot one dot 20", "192 dot 168 dot one dot 20", "ip"), ("tel +1 555 123 45 six seven", "+1 555 123 45 six seven", "phone"), ("two 10 dot 0 dot 0 dot 1", "10 dot 0 dot 0 dot 1", "ip"),
 ]
 
 
@@ -78,6 +81,13 @@ def test_glyph_gate():
     assert pii._TRIGGERS == set(pii.HOMOGLYPHS) and all(pii._FOREIGN[list(c.encode())].any() for c in pii.HOMOGLYPHS)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*"a1 \t.@_([,-)]", "dot", "at", "arroba", "punkt", "one", "ocho", "42", "plus ", "double", " ", "1 dot ", "_at_", "a@", " . ", "\t.\t"]), max_size=14).map("".join))
+def test_gates_are_weaker(text):
+    if not pii._SIGN_TRIGGER.search(text) and not pii._RUN_TRIGGER.search(text):
+        assert pii.transduce(text).text == text
+
+
 @pytest.mark.parametrize("text", ["re at the. Onand erth at example.com", "one two. Three four", "un un un", "meet @ noon", "point by point", ""])
 def test_clean(text):
     assert pii.find(text) == []
