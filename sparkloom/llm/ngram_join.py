@@ -8,7 +8,7 @@ D = (1 - t) / (1 + t) * (|A| + |B|), so if a set has more than D blocks that are
 both (pigeonhole), and if blocks are taken in one global order, the first such block is among the first D + 1 of either. These
 blocks are the join keys. To have few pairs to verify, T more blocks are taken where there are D + T: then at least T of a
 similar pair's blocks meet, and pairs that meet in fewer are dropped without looking at their sets. Keys are made per size band (sizes 4**b to 4**(b+1); a set near the top of its band also takes part in the
-next). P is raised for a whole band until every set of it has enough blocks, so no link can be lost.
+next). P is for a whole band the least at which every set of it has enough blocks, so no link can be lost.
 
 The global order puts blocks with rare shingles first, by a count sketch of fixed size over the whole corpus, so that passages
 which many documents share are hardly ever keys; it is only an order, any sketch gives the same links. Keys whose count may be
@@ -107,28 +107,37 @@ def bands(n: int, bound: Bound) -> list[int]:
     return [b, b + 1] if bound.partner(n) > 4 ** (b + 1) else [b]
 
 
-def level_for(s: np.ndarray, band: int, bound: Bound) -> int:
+def failing(s: np.ndarray, band: int, bound: Bound, known: int = 0) -> int:
+    """The known bit mask of levels with those added at which a set has too few blocks."""
     need = bound.keys(len(s))
     for level in range(LEVELS):
-        salt = K.mix(np.array([(band << 8) + level + 1], U64))[0]
-        if len(np.unique(K.mix(s ^ salt) % U64(blocks_of(band, level)))) >= need:
-            return level
-    return LEVELS
+        if not known >> level & 1:
+            salt = K.mix(np.array([(band << 8) + level + 1], U64))[0]
+            if len(np.unique(K.mix(s ^ salt) % U64(blocks_of(band, level)))) < need:
+                known |= 1 << level
+    return known
+
+
+def lowest(mask: int) -> int:
+    """The first level that isn't in a mask; beyond the last one, each shingle is a block."""
+    return next((level for level in range(LEVELS) if not mask >> level & 1), LEVELS)
 
 
+def level_for(s: np.ndarray, band: int, bound: Bound) -> int:
+    return lowest(failing(s, band, bound))
+
 
 def survey(docs: DataFrame, on: str, text: str, width: int, bound: Bound) -> DataFrame:
-    """One scan. Rows of kind 0: id, size and key of each set; 1: slices of the count sketch; 2: levels that bands need."""
+    """One scan. Rows of kind 0: id, size and key of each set; 1: slices of the count sketch; 2: masks of the levels at which a set of the band fails."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, levels = np.zeros(1 << SKETCH_BITS, np.int64), {}
+        counts, failed = np.zeros(1 << SKETCH_BITS, np.int64), {}
         for piece in K.pieces(batches, "_text"):
             sets = shingle_sets(*K.text_bytes(piece.column("_text")), width)
             for s in sets:
                 if len(s):
                     for b in bands(len(s), bound):
-                        if levels.get(b, 0) < LEVELS:
-                            levels[b] = max(levels.get(b, 0), level_for(s, b, bound))
+                        failed[b] = failing(s, b, bound, failed.get(b, 0))
             full = np.concatenate(sets) if sets else np.zeros(0, U64)
             counts += np.bincount((full >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
             n = piece.num_rows
@@ -136,8 +145,8 @@ def survey(docs: DataFrame, on: str, text: str, width: int, bound: Bound) -> Dat
                 [pa.array([0] * n, pa.int32()), piece.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())],
                 ["kind", "id", "n", "data"],
             )
-        rows = [(2, b, level, None) for b, level in levels.items()]
-        if levels:
+        rows = [(2, b, mask, None) for b, mask in failed.items()]
+        if failed:
             low = np.minimum(counts, 65535).astype(np.uint16).reshape(SLICES, -1)
             rows += [(1, i, 0, x.tobytes()) for i, x in enumerate(low)]
         if rows:
@@ -376,7 +385,7 @@ def similar(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_i
     grouped = own.where("_n > 0").groupBy("_key").agg(F.min("_id").alias("_rep"), F.max("_n").alias("_n"), F.count("*").alias("_size"))
     classes, total = running(grouped, [F.col("_rep"), F.col("_key")], {"_cid": F.lit(1), "_before": F.col("_n")}, "classes")
     classes = stored(classes.drop("_before"), "classes")
-    levels = {r[0]: r[1] for r in surveyed.where("kind = 2").groupBy("id").agg(F.max("n")).collect()}  # a row for each band
+    levels = {r[0]: lowest(r[1]) for r in surveyed.where("kind = 2").groupBy("id").agg(F.bit_or("n")).collect()}  # a row for each band
     flat = docs.select(F.coalesce(F.col(on).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_text"))
     keyed = classes.select("_cid", "_rep", "_key")
     reps = flat.join(F.broadcast(keyed) if total["_cid"] <= BROADCAST_CLASSES else keyed, F.col("_id") == F.col("_rep")).select("_cid", "_key", "_text")

@@ -325,6 +325,12 @@ def test_keep_first(spark):
     assert ngram_join.similar(df.limit(0)).count() == 0
 
 
+def test_level_of_a_band(spark):
+    # the first text has too few blocks at level 0; the others have enough there, but not at level 1, where they share none
+    data = [(1, "w891 w410 w70 w498 w156 w126 w810"), (2, "w855 w665 w843 w225 w702 w885 w778"), (3, "w855 w665 w843 w225 w702 w885 w778 w10 w20")]
+    assert rows(ngram_join.similar(frame(spark, data))) == sorted(ngram_join.brute_force(data), key=repr)
+
+
 def test_pigeonhole():
     bound = ngram_join.Bound(70)
     r = np.random.default_rng(0)
