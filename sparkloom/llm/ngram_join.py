@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as K
 from .plan import join_skewed, running, stored
@@ -377,8 +378,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("_cid"), F.col("v").alias("_root"))
 
 
-def similar(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_id", text: str = "text", grid: int = GRID, bucket_keys: int = 3_000_000) -> DataFrame:
-    """For each document: n_shingles, n_similar and component_id."""
+def _facts(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_id", text: str = "text", grid: int = GRID, bucket_keys: int = 3_000_000) -> tuple[DataFrame, DataFrame]:
+    """Id, size and key of each row, and for each class: key, n_similar, component, rows, and its least id if it is its component's first."""
     bound = Bound(percent)
     surveyed = survey(docs, on, text, width, bound)
     own = surveyed.where("kind = 0").select(F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("data").alias("_key"))
@@ -397,27 +398,54 @@ def similar(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_i
     near = both.join(sizes, "_other").groupBy("_cid").agg(F.sum("_others").alias("_near"))
     roots = components(links).join(classes.select(F.col("_cid").alias("_root"), F.col("_rep").alias("_first")), "_root").select("_cid", "_first")
     facts = classes.join(near, "_cid", "left").join(roots, "_cid", "left")
-    facts = stored(facts.select("_key", (F.coalesce("_near", F.lit(0)) + F.col("_size") - 1).alias("_near"), F.coalesce("_first", "_rep").alias("_first"), F.col("_size")), "facts")
+    facts = stored(facts.select("_key", (F.coalesce("_near", F.lit(0)) + F.col("_size") - 1).alias("_near"), F.coalesce("_first", "_rep").alias("_first"), F.col("_size"), F.when(F.col("_first").isNull(), F.col("_rep")).alias("_kept")), "facts")
+    return own, facts
+
+
+def similar(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_id", **options) -> DataFrame:
+    """For each document: n_shingles, n_similar and component_id; options as of _facts()."""
+    own, facts = _facts(docs, percent, width, on, **options)
     # one class may hold a third of the rows: the few large ones are broadcast
     rows = own.where("_n > 0")
-    out = join_skewed(rows, facts, "_key", "_size", own.count()).select("_id", "_n", "_near", "_first")
+    out = join_skewed(rows, facts.drop("_kept"), "_key", "_size", own.count()).select("_id", "_n", "_near", "_first")
     out = out.unionByName(own.where("_n = 0").select("_id", "_n", F.lit(0).cast("long").alias("_near"), F.col("_id").alias("_first")))
     shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(shown("_id").alias(on), F.col("_n").alias("n_shingles"), F.col("_near").alias("n_similar"), shown("_first").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, on: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each component, that with the smallest id (of repeated rows one), with the same columns; rows without words stay."""
-    found = similar(docs, on=on, text=text, **options)
-    chosen = stored(found.where(F.col("component_id").eqNullSafe(F.col(on))).select(on).distinct(), "chosen")
-    n = chosen.count()
-    left = docs.join(F.broadcast(chosen) if n <= BROADCAST_CLASSES else chosen, docs[on].eqNullSafe(chosen[on]), "left_semi")
+def _keyed(docs: DataFrame, text: str, width: int, name: str) -> DataFrame:
+    """The rows with the key of their shingle set, null if they have no words."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in K.pieces(batches, text):
+            sets = shingle_sets(*K.text_bytes(piece.column(text)), width)
+            keys = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(keys, pa.binary())], [*piece.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
+
+
+def keep_first(docs: DataFrame, on: str = "doc_id", text: str = "text", *, width: int = 3, **options) -> DataFrame:
+    """One row of each component, that with the smallest id, of rows of one id and shingle set that with the least text, with the
+    same columns; rows without words stay."""
+    own, facts = _facts(docs, on=on, text=text, width=width, **options)
+    first = facts.where(F.col("_kept").isNotNull()).select(F.col("_kept").alias("_id"), "_key")
+    chosen = stored(first.unionByName(own.where("_n = 0").select("_id", F.lit(None).cast("binary").alias("_key")).distinct()), "chosen")
+    small = chosen.count() <= BROADCAST_CLASSES
+    id_, key, row = (free_name(docs, n) for n in ("_chosen_id", "_chosen_key", "_row"))
+    ids = chosen.select(F.col("_id").alias(id_)).distinct()
+    own_id = F.coalesce(docs[on].cast("long"), F.lit(NO_ID))
+    left = docs.join(F.broadcast(ids) if small else ids, own_id == ids[id_], "left_semi")
     if left.select(on).distinct().count() == left.count():
         return left
-    # repeated rows: one of them, but all that have no words
-    name = free_name(docs, "_has_words")
-    marked = left.withColumn(name, F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return marked.where(F.col(name)).dropDuplicates([on, text]).unionByName(marked.where(~F.col(name))).select(*docs.columns)
+    # an id with several rows: those of the chosen sets, one of each, but all that have no words
+    marked = _keyed(left, text, width, key)
+    sets = chosen.where("_key is not null").select(F.col("_id").alias(id_), F.col("_key").alias(key))
+    of_set = (F.coalesce(marked[on].cast("long"), F.lit(NO_ID)) == sets[id_]) & (marked[key] == sets[key])
+    found = marked.join(F.broadcast(sets) if small else sets, of_set, "left_semi")
+    one = found.groupBy(on, key).agg(F.min_by(F.struct(*docs.columns), F.col(text)).alias(row)).select(f"{row}.*")
+    return one.unionByName(marked.where(F.col(key).isNull()).select(*docs.columns))
 
 
 def brute_force(docs: list[tuple], percent: int = 70, width: int = 3) -> list[tuple]:

@@ -325,6 +325,15 @@ def test_keep_first(spark):
     assert ngram_join.similar(df.limit(0)).count() == 0
 
 
+def test_keep_first_of_shared_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    # 5 is the first of b's component, and has also a near copy of 3 and texts equal but for case; the null id has near copies
+    data = [(3, a), (5, b), (5, a + " more"), (5, b.upper()), (7, b), (None, c), (None, c + " more"), (None, c), (None, ""), (5, " "), (5, " "), (8, None)]
+    got = rows(ngram_join.keep_first(frame(spark, data)).select("doc_id", "text"))
+    assert len(got) == 7 and sorted((d, (t or "").lower().split()[:1]) for d, t in got if d is not None) == [(3, ["a0"]), (5, []), (5, []), (5, ["b0"]), (8, [])]
+    assert [(t or "").split()[:1] for d, t in got if d is None].count(["c0"]) == 1 and (5, b.upper()) in got
+
+
 def test_level_of_a_band(spark):
     # the first text has too few blocks at level 0; the others have enough there, but not at level 1, where they share none
     data = [(1, "w891 w410 w70 w498 w156 w126 w810"), (2, "w855 w665 w843 w225 w702 w885 w778"), (3, "w855 w665 w843 w225 w702 w885 w778 w10 w20")]
