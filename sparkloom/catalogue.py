@@ -196,6 +196,12 @@ def ordered_zip(spark, d):
     return relations.zip_lists(rows, "x", "y").withColumn("place", F.col("place").cast("long")).select("vec_id", "place", "x", F.col("y").cast("float").alias("y"))
 
 
+@query("select vec_id, i - 1 as place, embedding[i] as x, embedding[i] * 2 as y from (select vec_id, embedding, unnest(generate_series(1, len(embedding))) as i from embeddings)")
+def ordered_zip_whole(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x")).withColumn("y", F.transform("x", lambda v: v * 2))
+    return relations.zip_lists(rows, "x", "y").withColumn("place", F.col("place").cast("long")).select("vec_id", "place", "x", F.col("y").cast("float").alias("y"))
+
+
 # --- statistics ------------------------------------------------------------------------------------------------------
 
 _RANGES = [(dt.date(y, 1, 1), dt.date(y + 1, 1, 1)) for y in range(1992, 1999)]
@@ -321,7 +327,7 @@ def sp_merge(spark, d):
 
 @query()
 def sp_edit(spark, d):
-    return vocab.edited(_pieces(spark, d).where("source = 'en'")).select("piece", "rank")
+    return vocab.edited(_pieces(spark, d), "source").select("source", "piece", "rank")
 
 
 @query(f"""
@@ -575,6 +581,14 @@ def stretch_shift_add(spark, d):
     return _vectors(spark, d).select("id", F.transform(V.stretch_shift_add(rows, 4), lambda x: F.round(x, 6)).alias("v"))
 
 
+@query("""
+with g as (select vec_id as id, [embedding[1:16]::double[], embedding[17:32]::double[], embedding[33:48]::double[], embedding[49:64]::double[]] as rows from embeddings)
+select id, list_transform(generate_series(0, 63), lambda k: round(list_sum(list_transform([0, 1, 2, 3], lambda r: case when ((k - r) + 64) % 64 % 4 = 0 then rows[r + 1][((k - r) + 64) % 64 // 4 + 1] else 0 end)), 6)) as v from g""")
+def stretch_shift_add_whole(spark, d):
+    rows = F.array(*[F.slice("vector", a, 16).cast("array<double>") for a in (1, 17, 33, 49)])
+    return _vectors(spark, d).select("id", F.transform(V.stretch_shift_add(rows, 4), lambda x: F.round(x, 6)).alias("v"))
+
+
 @query("select vec_id as id, list_transform(list_filter(generate_series(1, 63), lambda i: (i - 1) % 21 < 5), lambda i: embedding[i]) as v from embeddings")
 def sample_to_dim(spark, d):
     return _vectors(spark, d).select("id", V.head_of_windows(F.col("vector"), 5, 3).alias("v"))

@@ -153,13 +153,14 @@ def first_by_key(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFram
 # --- cleaning and conversion -----------------------------------------------------------------------------------------
 
 
-def edited(pieces: DataFrame) -> DataFrame:
-    """(rank from 0, piece, …) without the tail of one-character pieces, and without numbers, loose edges and doubled signs."""
+def edited(pieces: DataFrame, source: str | None = None) -> DataFrame:
+    """(rank from 0, piece, …) without the tail of one-character pieces, and without numbers, loose edges and doubled signs; source: of each vocabulary."""
     p = F.col("piece")
-    last = pieces.agg(F.coalesce(F.max(F.when(F.length("piece") > 1, F.col("rank"))), F.lit(0)).alias("_last"))
+    own = F.col(source) if source else F.lit(0)
+    last = pieces.groupBy(own.alias("_own")).agg(F.coalesce(F.max(F.when(F.length("piece") > 1, F.col("rank"))), F.lit(0)).alias("_last"))
     edge = f"[.{X.MASK}\\-]"
     bad = p.rlike("(?U)^\\d+$") | p.rlike("(?U)^\\d+[^\\da-z]+$") | ((F.length(p) >= 2) & (p.rlike(f"^{edge}|{edge}$") | p.rlike("%|[.\\-]{2,}")))
-    return pieces.join(F.broadcast(last), F.col("rank") <= F.col("_last")).drop("_last").where(~bad)  # one row
+    return pieces.join(F.broadcast(last), own.eqNullSafe(F.col("_own")) & (F.col("rank") <= F.col("_last"))).drop("_own", "_last").where(~bad)  # a row for each vocabulary
 
 
 def to_words(pieces: DataFrame, keep_english: bool = False) -> DataFrame:

@@ -208,3 +208,9 @@ def test_embedding(spark):
     df = spark.createDataFrame([("abc",), ("abc",), (None,)], "t string")
     got = [r[0] for r in df.select(embedding(df, HashedNgrams(32))(F.col("t"))).collect()]
     assert got[0] == got[1] and math.isclose(np.linalg.norm(got[0]), 1, rel_tol=1e-5)
+
+
+def test_edited_by_source(spark):
+    data = [("en", 0, "word"), ("en", 1, "a"), ("de", 0, "x"), ("de", 1, "wort"), ("de", 2, "12"), ("de", 3, "z"), (None, 0, "mot"), (None, 1, "o")]
+    got = vocab.edited(spark.createDataFrame(data, "source string, rank int, piece string"), "source").collect()
+    assert sorted(((r["source"], r["piece"]) for r in got), key=repr) == sorted([("en", "word"), ("de", "x"), ("de", "wort"), (None, "mot")], key=repr)
