@@ -641,6 +641,16 @@ def phrase_doc_count(spark, d):
     return suggest.phrase_counts(_docs(spark, d), phrases, [F.col("text")], "doc_id")
 
 
+@query(f"""
+with p as (select distinct array_to_string(w, ' ') as phrase from (select {_WORDS.format('text')} as w from benchmark) where len(w) >= 1),
+g as (select doc_id, ' ' || array_to_string({_WORDS.format('text')}, ' ') || ' ' as line from documents)
+select phrase, count(distinct doc_id) as doc_count from p left join g on contains(line, ' ' || phrase || ' ') group by phrase""")
+def phrase_doc_count_whole(spark, d):
+    w = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
+    phrases = table(spark, d, "benchmark").where(F.size(w) >= 1).select(F.array_join(w, " ").alias("phrase")).distinct()
+    return suggest.phrase_counts(_docs(spark, d), phrases, [F.col("text")], "doc_id")
+
+
 @query("select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1")
 def upsert_latest(spark, d):
     return relations.latest(table(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts"), "user_id", ["ts", "event_id"]).drop("ts")
