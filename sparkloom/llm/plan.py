@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, only where it is unset, one of our own."""
+    """The folder that all executors share, as spark.checkpoint.dir names it.
+
+    Only where that is unset and the session runs in one process, as in tests, it is a temporary folder of the
+    session; on a cluster an unset folder is an error, as executors would write each to its own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="sparkloom-")
-    return f"file://{_own[app]}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    own = os.path.join(os.environ.get("TMPDIR", "/tmp"), f"sparkloom-{spark.sparkContext.applicationId}")
+    return f"file://{own}"
+
+
+def whole_ids(df: DataFrame, on: str) -> Column:
+    """The id column as long; only whole numbers are ids here."""
+    kind = dict(df.dtypes)[on]
+    if kind not in _INTEGERS and kind != "void":
+        raise TypeError(f"ids are whole numbers; {on!r} is {kind}")
+    return df[on].cast("long")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

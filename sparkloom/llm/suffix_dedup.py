@@ -4,8 +4,9 @@ The suffix order of a corpus is only asked where 100-byte strings may be equal,
 window of 100 bytes has an anchor, the smallest hash of its 32-byte substrings (leftmost of equal ones). Equal windows have
 equal anchors, so
 
-1. anchors are counted over the whole corpus, and those that occur twice are marked in a bitmap of bounded size (a mark set
-   for nothing costs work, never a result);
+1. anchors are counted over the whole corpus, in as many buckets as it needs, and those that occur twice are marked: in a
+   bitmap that is broadcast while 2**`map_bits` bits are enough (a mark set for nothing costs work, never a result); beyond
+   that the anchors are counted together with their places, and the marked places are joined to their texts;
 2. runs of consecutive windows with one marked anchor, with the bytes that they span, go to the bucket of the anchor; equal
    runs of a batch are combined first, the later ones being known as copies;
 3. each bucket sorts its suffixes by the difference-cover algorithm: the triples at positions 1 and 2 modulo 3 are sorted and
@@ -16,11 +17,12 @@ equal anchors, so
 4. marks return to their documents as intervals.
 
 An anchor that occurs more than `hot` times would make a bucket of unbounded size; its windows are sent one by one, each by a
-hash of its own bytes, after equal ones have been combined. Texts that are equal as a whole are combined beforehand.
+hash of its own bytes, after equal ones have been combined. Texts that are equal as a whole (by SHA-256) are combined
+beforehand; whatever else is taken as equal is compared byte by byte.
 
 Defined cases: null and empty texts have no bytes; texts of under 100 bytes lose nothing; ties of an id are ordered by the
-MD5 of the text, and of repeated rows one is the first; a null id comes before all; an empty table gives an empty result;
-other columns aren't read.
+SHA-256 of the text, and of repeated rows one is the first and keeps its bytes; a null id comes before all; ids that aren't
+whole numbers raise an error; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 from .ngram_join import BROADCAST_CLASSES, NO_ID
-from .plan import running, stored
+from .plan import join_skewed, running, stored, whole_ids
 
 U64 = np.uint64
 GRAM = 32
@@ -44,6 +46,10 @@ SEGMENT = 1 << 22
 POSITION_BITS = 24
 HOT = 20_000
 BUCKET_BYTES = 1_000_000
+#: bits of the bitmap of anchors at most: 128 MB; enough for about 16 GB of distinct texts
+MAP_BITS = 30
+#: bytes of text for each task that counts anchors (a run takes some 35)
+COUNT_BYTES = 64 << 20
 
 
 # --- the difference-cover suffix order -------------------------------------------------------------------------------
@@ -154,6 +160,20 @@ def repeated(text: np.ndarray, valid: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def copies(raw: np.ndarray, begin: np.ndarray, length: np.ndarray, content: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which runs have the bytes of the one before in an order by hash of content: hashes propose, bytes decide."""
+    again = np.zeros(len(order), bool)
+    a, b = order[:-1], order[1:]
+    same = np.flatnonzero((content[a] == content[b]) & (length[a] == length[b]))
+    for k in range(0, len(same), 20_000):
+        x, y = a[same[k : k + 20_000]], b[same[k : k + 20_000]]
+        n = length[x]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        equal = raw[np.repeat(begin[x], n) + step] == raw[np.repeat(begin[y], n) + step]
+        again[y] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return again
+
+
 # --- anchors ---------------------------------------------------------------------------------------------------------
 
 
@@ -216,10 +236,15 @@ def segments(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.
 # --- the plan --------------------------------------------------------------------------------------------------------
 
 
-def marked(texts: DataFrame, total: int, size: int, gram: int, hot: int) -> tuple[np.ndarray, int, int, np.ndarray]:
+def map_bits_for(total: int) -> int:
+    """Bits of a bitmap in which few anchors of `total` bytes meet by chance."""
+    return max(16, (total // 16).bit_length())
+
+
+def marked(texts: DataFrame, total: int, size: int, gram: int, hot: int, count_bytes: int) -> tuple[np.ndarray, int, int, np.ndarray]:
     """Over texts (_text): the bitmap of anchors that occur twice, its bits, how many runs have such, and the hot anchors."""
-    bits = min(30, max(16, (total // 16).bit_length()))
-    cut = max(0, min(bits - 3, 10, (total // 16_000_000).bit_length()))
+    bits = map_bits_for(total)
+    cut = max(0, min(bits - 3, (total // count_bytes).bit_length()))
 
     def emit(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -268,7 +293,7 @@ def marked(texts: DataFrame, total: int, size: int, gram: int, hot: int) -> tupl
         )
 
     found = texts.select("_text").mapInArrow(collect, "bucket int, hash binary, at binary, n binary")
-    rows = found.groupBy("bucket").applyInArrow(count, "bucket int, n long, bits binary, hot binary").collect()  # 2**bits bits at most, and total / hot hashes
+    rows = found.groupBy("bucket").applyInArrow(count, "bucket int, n long, bits binary, hot binary").collect()  # 2**MAP_BITS bits at most, and one hash for each `hot` runs of what they are enough for
     each = 1 << max(0, bits - cut - 3)
     out = np.zeros((1 << cut) * each, np.uint8)
     for r in rows:
@@ -276,9 +301,47 @@ def marked(texts: DataFrame, total: int, size: int, gram: int, hot: int) -> tupl
     return out, bits, sum(r[1] for r in rows), np.sort(np.concatenate([np.zeros(0, U64), *[np.frombuffer(bytes(r[3]), U64) for r in rows]]))
 
 
-def intervals(texts: DataFrame, bitmap: np.ndarray, bits: int, hot: np.ndarray, buckets: int, size: int, gram: int) -> DataFrame:
-    """Over texts (_cid, _text): rows (_cid, start, n), n windows from start on that also start earlier."""
-    shared = texts.sparkSession.sparkContext.broadcast((bitmap, hot))
+def located(texts: DataFrame, size: int, gram: int, hot: int) -> tuple[DataFrame, int]:
+    """Over texts (_cid, _text) of any total: for each text its runs whose anchor occurs twice, and how many there are in all."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for raw, offsets, piece, base in segments(batches, size):
+            at, n, h = anchor_runs(raw, offsets, size, gram)
+            row = np.searchsorted(offsets, at, "right") - 1
+            cid = piece.column("_cid").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(at - offsets[row] + base[row]), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64))], ["_cid", "start", "n", "key"])
+
+    runs = stored(texts.select("_cid", "_text").mapInArrow(place, "_cid long, start long, n int, key long"), "runs")
+    counts = stored(runs.groupBy("key").agg(F.count("*").alias("_times")).where("_times > 1"), "anchors")
+    total = counts.agg(F.sum("_times")).first()[0] or 0
+    many = F.struct("start", "n", "key", (F.col("_times") > hot).alias("many"))
+    found = join_skewed(runs, counts, "key", "_times", total)
+    return found.groupBy("_cid").agg(F.collect_list(many).alias("_runs")), total  # runs of one text each
+
+
+def intervals(texts: DataFrame, known: tuple[np.ndarray, int, np.ndarray] | None, buckets: int, size: int, gram: int) -> DataFrame:
+    """Over texts (_cid, _text): rows (_cid, start, n), n windows from start on that also start earlier.
+
+    known: bitmap, its bits and the hot anchors; without them the texts have their runs in a column _runs.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def runs_of(raw: np.ndarray, offsets: np.ndarray, piece: pa.RecordBatch, base: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Place in raw, windows, anchor, row, and whether the anchor is hot, of the runs to be sent."""
+        if known is None:
+            parts = []
+            for i, (runs, own) in enumerate(zip(piece.column("_runs"), base.tolist())):
+                at, n, key, many = (runs.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "key", "many"))
+                here = (at >= own) & (at + n <= own + offsets[i + 1] - offsets[i] - size + 1)
+                parts.append((at[here] - own + offsets[i], n[here].astype(np.int64), key[here].view(U64), np.full(int(here.sum()), i), many[here].astype(bool)))
+            return tuple(np.concatenate(x) for x in zip(*parts))
+        bitmap, bits, hot = shared.value
+        at, n, h = anchor_runs(raw, offsets, size, gram)
+        bit = (h >> U64(64 - bits)).astype(np.int64)
+        there = (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+        at, n, h = at[there], n[there], h[there]
+        many = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+        return at, n, h, np.searchsorted(offsets, at, "right") - 1, many
 
     class Held:
         """Runs of a batch of texts: equal ones are combined before they are sent."""
@@ -296,9 +359,7 @@ def intervals(texts: DataFrame, bitmap: np.ndarray, bits: int, hot: np.ndarray,
             cid, start, n, key, content, raw = (np.concatenate(x) for x in zip(*self.parts))
             ends = np.cumsum(n + size - 1)
             begins = ends - (n + size - 1)
-            order = np.lexsort((start, cid, content))
-            again = np.zeros(len(order), bool)
-            again[order[1:]] = content[order[1:]] == content[order[:-1]]
+            again = copies(raw, begins, n + size - 1, content, np.lexsort((start, cid, content)))
             bucket = (K.mix(key) % U64(buckets)).astype(np.int64)
             order = np.lexsort((start, cid, bucket))
             cut = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
@@ -312,28 +373,20 @@ def intervals(texts: DataFrame, bitmap: np.ndarray, bits: int, hot: np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "cid", "start", "n", "raw"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, hot = shared.value
         held = Held()
         for raw, offsets, piece, base in segments(batches, size):
-            at, n, h = anchor_runs(raw, offsets, size, gram)
-            bit = (h >> U64(64 - bits)).astype(np.int64)
-            there = (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-            at, n, h = at[there], n[there], h[there]
+            at, n, h, row, many = runs_of(raw, offsets, piece, base)
             if not len(at):
                 continue
-            row = np.searchsorted(offsets, at, "right") - 1
             cid = piece.column("_cid").to_numpy()[row]
             hasher = K.Hasher(raw)
             start = at - offsets[row] + base[row]
-            if len(hot):
-                place = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                many = hot[place] == h
-                if many.any():
-                    step = np.arange(int(n[many].sum())) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
-                    each = np.repeat(at[many], n[many]) + step
-                    key = hasher(each, each + size)
-                    held.add(raw, hasher, np.repeat(cid[many], n[many]), each, np.repeat(start[many], n[many]) + step, np.ones(len(each), np.int64), key)
-                    at, n, h, cid, start = (x[~many] for x in (at, n, h, cid, start))
+            if many.any():
+                step = np.arange(int(n[many].sum())) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
+                each = np.repeat(at[many], n[many]) + step
+                key = hasher(each, each + size)
+                held.add(raw, hasher, np.repeat(cid[many], n[many]), each, np.repeat(start[many], n[many]) + step, np.ones(len(each), np.int64), key)
+                at, n, h, cid, start = (x[~many] for x in (at, n, h, cid, start))
             if len(at):
                 held.add(raw, hasher, cid, at, start, n, h)
             if held.size > 12 << 20:
@@ -359,9 +412,7 @@ def intervals(texts: DataFrame, bitmap: np.ndarray, bits: int, hot: np.ndarray,
             length = n + size - 1
             begin = np.cumsum(length) - length
             content = K.Hasher(raw)(begin, begin + length)
-            order = np.lexsort((start, cid, content))  # equal runs of several batches
-            again = np.zeros(len(order), bool)
-            again[order[1:]] = content[order[1:]] == content[order[:-1]]
+            again = copies(raw, begin, length, content, np.lexsort((start, cid, content)))  # equal runs of several batches
             out.append((cid[again], start[again], n[again]))
             order = np.lexsort((start, cid))
             order = order[~again[order]]
@@ -383,7 +434,7 @@ def intervals(texts: DataFrame, bitmap: np.ndarray, bits: int, hot: np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000].astype(np.int64)) for x in (a, b, c)], ["_cid", "start", "n"])
         K.trim()
 
-    sent = texts.select("_cid", "_text").mapInArrow(send, "bucket int, cid binary, start binary, n binary, raw binary")
+    sent = texts.mapInArrow(send, "bucket int, cid binary, start binary, n binary, raw binary")
     return sent.groupBy("bucket").applyInArrow(sort, "_cid long, start long, n long")
 
 
@@ -403,24 +454,36 @@ def cut_out(raw: bytes, starts: list[int], counts: list[int], size: int) -> tupl
     return removed, spans, digest.hexdigest()
 
 
-def dedup(docs: DataFrame, size: int = 100, gram: int = GRAM, on: str = "doc_id", text: str = "text", hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def dedup(
+    docs: DataFrame, size: int = 100, gram: int = GRAM, on: str = "doc_id", text: str = "text", hot: int = HOT, bucket_bytes: int = BUCKET_BYTES,
+    map_bits: int = MAP_BITS, count_bytes: int = COUNT_BYTES, small_classes: int = BROADCAST_CLASSES,
+) -> DataFrame:
     """For each row: its id, n_bytes, n_removed, n_spans and kept_sha256."""
     t = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    flat = docs.select(F.coalesce(F.col(on).cast("long"), F.lit(NO_ID)).alias("_id"), t.alias("_text"))
-    n_bytes = F.octet_length("_text").cast("long")
-    rows = flat.select("_id", F.unhex(F.md5("_text")).alias("_key"), n_bytes.alias("_n"), F.when(n_bytes < size, F.sha2("_text", 256)).alias("_sha"))
-    rows = stored(rows.groupBy("_id", "_key").agg(F.max("_n").alias("_n"), F.max("_sha").alias("_sha"), F.count("*").alias("_m")), "rows")
-    grouped = rows.groupBy("_key").agg(F.min("_id").alias("_rep"), F.max("_n").alias("_n"))
+    flat = docs.select(F.coalesce(whole_ids(docs, on), F.lit(NO_ID)).alias("_id"), t.alias("_text"))
+    key = F.unhex(F.sha2("_text", 256))
+    rows = flat.select("_id", key.alias("_key"), F.octet_length("_text").cast("long").alias("_n"))
+    rows = stored(rows.groupBy("_id", "_key").agg(F.max("_n").alias("_n"), F.count("*").alias("_m")), "rows")
+    grouped = rows.groupBy("_key").agg(F.min("_id").alias("_rep"), F.max("_n").alias("_n"), F.min_by("_m", "_id").alias("_m"))
     long_ = grouped.where(F.col("_n") >= size)
     classes, totals = running(long_, [F.col("_rep"), F.col("_key")], {"_cid": F.lit(1), "_at": F.col("_n")}, "classes")
-    classes = stored(classes.select("_cid", "_rep", "_key"), "classes")
-    small = totals["_cid"] <= BROADCAST_CLASSES
+    classes = stored(classes.select("_cid", "_rep", "_key", "_m"), "classes")
+    small = totals["_cid"] <= small_classes
     keyed = classes.withColumnRenamed("_key", "_own")
-    texts = flat.join(F.broadcast(keyed) if small else keyed, F.col("_id") == F.col("_rep"))
-    texts = texts.where(F.unhex(F.md5("_text")) == F.col("_own")).select("_cid", "_text")
-    bitmap, bits, n_runs, hot_ones = marked(texts, totals["_at"], size, gram, hot)
+    texts = flat.join(F.broadcast(keyed) if small else keyed, F.col("_id") == F.col("_rep")).where(key == F.col("_own"))
+    # a text that one id has on several rows takes part once
+    once = texts.where("_m = 1").select("_cid", "_text")
+    if classes.where("_m > 1").limit(1).count():
+        once = once.unionByName(stored(texts.where("_m > 1").select("_cid", "_text").dropDuplicates(["_cid"]), "again"))
+    texts = once
+    if map_bits_for(totals["_at"]) <= map_bits:
+        bitmap, bits, n_runs, hot_ones = marked(texts, totals["_at"], size, gram, hot, count_bytes)
+        sources, known = texts, (bitmap, bits, hot_ones)
+    else:
+        runs, n_runs = located(texts, size, gram, hot)
+        sources, known = texts.join(runs, "_cid"), None
     buckets = max(1, -(-n_runs * (size + gram) // bucket_bytes))
-    found = intervals(texts, bitmap, bits, hot_ones, buckets, size, gram)
+    found = intervals(sources, known, buckets, size, gram)
     lists = found.groupBy("_cid").agg(F.collect_list(F.struct("start", "n")).alias("_found"))  # of one text each
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,25 +495,30 @@ def dedup(docs: DataFrame, size: int = 100, gram: int = GRAM, on: str = "doc_id"
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["_cid", "_removed", "_spans", "_kept"])
 
     done = texts.join(lists, "_cid", "left").mapInArrow(finish, "_cid long, _removed long, _spans long, _kept string")
-    done = done.dropDuplicates(["_cid"]).join(classes, "_cid").select("_key", F.col("_rep").alias("_id"), "_removed", "_spans", "_kept")
-    nothing = F.lit(hashlib.sha256(b"").hexdigest())
+    done = done.join(classes, "_cid").select("_key", F.col("_rep").alias("_id"), "_removed", "_spans", "_kept")
     all_ = rows.join(done, ["_key", "_id"], "left")
-    first = F.col("_kept").isNotNull()
-    short = F.col("_n") < size
-    shown = all_.select(
-        F.when(F.col("_id") != NO_ID, F.col("_id")).alias(on), F.col("_n").alias("n_bytes"),
-        F.explode(F.flatten(F.array(
-            F.when(first, F.array(F.struct(F.col("_removed").alias("a"), F.col("_spans").alias("b"), F.col("_kept").alias("c")))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint,c:string>>")),
-            F.array_repeat(F.struct(F.when(short, F.lit(0)).otherwise(F.col("_n")).cast("long").alias("a"), F.when(short, 0).otherwise(1).cast("long").alias("b"), F.when(short, F.col("_sha")).otherwise(nothing).alias("c")), (F.col("_m") - first.cast("int")).cast("int")),
-        ))).alias("_x"),
+    first, short = F.col("_kept").isNotNull(), F.col("_n") < size
+    # the first row of a class keeps what its windows leave, others of at least `size` bytes nothing, shorter ones all
+    found = F.struct(F.col("_removed").alias("a"), F.col("_spans").alias("b"), F.col("_kept").alias("c"))
+    nothing = F.lit(hashlib.sha256(b"").hexdigest())
+    rest = F.struct(
+        F.when(short, F.lit(0)).otherwise(F.col("_n")).cast("long").alias("a"), F.when(short, 0).otherwise(1).cast("long").alias("b"),
+        F.when(short, F.lower(F.hex("_key"))).otherwise(nothing).alias("c"),
     )
+    # equal rows are given one by one, in chunks, as a third of all rows may be equal
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / 10_000))
+    shown = all_.select("_id", "_n", F.when(first, found).alias("_first"), rest.alias("_rest"), "_m", F.explode(chunks).alias("_chunk"))
+    here = F.least(F.lit(10_000), F.col("_m") - F.col("_chunk") * 10_000).cast("int")
+    of_first = (F.col("_chunk") == 0) & F.col("_first").isNotNull()
+    each = F.when(of_first, F.concat(F.array("_first"), F.array_repeat("_rest", here - 1))).otherwise(F.array_repeat("_rest", here))
+    shown = shown.select(F.when(F.col("_id") != NO_ID, F.col("_id")).alias(on), F.col("_n").alias("n_bytes"), F.explode(each).alias("_x"))
     return shown.select(on, "n_bytes", F.col("_x.a").alias("n_removed"), F.col("_x.b").alias("n_spans"), F.col("_x.c").alias("kept_sha256"))
 
 
 def brute_force(docs: list[tuple], size: int = 100) -> list[tuple]:
-    """What dedup() gives, from the definition, for tests; ids that aren't null and differ for different texts."""
+    """What dedup() gives, from the definition, for tests."""
     seen, out = set(), []
-    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is not None, docs[i][0] or 0, hashlib.md5((docs[i][1] or "").encode()).digest()))
+    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is not None, docs[i][0] or 0, hashlib.sha256((docs[i][1] or "").encode()).digest()))
     for i in order:
         raw = (docs[i][1] or "").encode()
         gone = bytearray(len(raw))

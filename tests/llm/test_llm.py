@@ -371,10 +371,37 @@ def test_suffix_ranks(s, reach):
     assert [suffixes[i] for i in np.lexsort((np.arange(len(s)), ranks))] == sorted(suffixes)
 
 
-@pytest.mark.parametrize("hot, bucket", [(20_000, 1_000_000), (2, 5_000)])
-def test_dedup(spark, hot, bucket):
+#: each limit at its default, and so low that the other way is taken
+LIMITS = [{}, {"hot": 2, "bucket_bytes": 5_000}, {"map_bits": 4}, {"map_bits": 4, "hot": 2, "bucket_bytes": 5_000}, {"small_classes": 0, "count_bytes": 10_000}]
+
+
+@pytest.mark.parametrize("options", LIMITS)
+def test_dedup(spark, options):
+    alone = "".join(random.Random(3).choices("abcdefgh ", k=442))
     data = corpus(60) + [(None, corpus(60)[3][1]), (7001, "a" * 500), (7003, "ab" * 90 + "x" + "ab" * 90), (7005, corpus(60)[0][1] * 3), (7007, None), (7009, ""), (7011, "a" * 500), (7011, "a" * 500), (7013, "é" * 300)]
-    assert rows(suffix_dedup.dedup(frame(spark, data), hot=hot, bucket_bytes=bucket)) == sorted(suffix_dedup.brute_force(data), key=repr)
+    data += [(7021, alone)] * 3 + [(7023, "y" + alone), (7025, alone[:100]), (7025, alone[:100]), (None, None), (None, None), (7007, None)]
+    assert rows(suffix_dedup.dedup(frame(spark, data), **options)) == sorted(suffix_dedup.brute_force(data), key=repr)
+
+
+@pytest.mark.parametrize("options", LIMITS[:3])
+def test_dedup_repeated_rows(spark, options):
+    a, b = ("".join(random.Random(i).choices("abcdefgh ", k=442)) for i in (1, 2))
+    for data in ([(1, a), (1, a), (2, b)], [(5, a)] * 3, [(5, a)] * 3 + [(4, b), (4, b), (None, a)]):
+        assert rows(suffix_dedup.dedup(frame(spark, data), **options)) == sorted(suffix_dedup.brute_force(data), key=repr)
+
+
+def test_copies_are_compared_by_bytes():
+    raw = np.frombuffer(b"abcabdabc", np.uint8)
+    begin, length = np.array([0, 3, 6]), np.array([3, 3, 3])
+    assert suffix_dedup.copies(raw, begin, length, np.array([1, 2, 1]), np.array([0, 2, 1])).tolist() == [False, False, True]
+    assert not suffix_dedup.copies(raw, begin, length, np.array([1, 1, 1]), np.array([0, 1, 2])).any()
+
+
+def test_ids_are_whole_numbers(spark):
+    df = spark.createDataFrame([("x", "text")], "doc_id string, text string")
+    for f in (suffix_dedup.dedup, ngram_join.similar, lambda d: token_store.round_trip(d, queries.tokenizer_path())):
+        with pytest.raises(TypeError):
+            f(df)
 
 
 def test_dedup_empty_and_long(spark):
