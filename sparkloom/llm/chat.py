@@ -35,6 +35,7 @@ OPEN, CLOSE, HOLDER = "###", "</turn>", "<|"
 _CONTROL = re.compile(r"\\|###|</turn>|<\|")
 _ROLE_CONTROL = re.compile(r"\\|###|</turn>|<\||:")
 _TOKEN = re.compile(r"\\(?:\\|###|</turn>|<\||:)|###|</turn>|<\||:")
+_ESCAPED = r"\\(\\|###|</turn>|<\||:)"
 _PART = "type: string, text: string, uri: string, width: int, height: int, seconds: double, pages: int"
 PART = "struct<" + _PART.replace(": ", ":") + ">"
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25, 512
@@ -45,7 +46,7 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(\\|###|</turn>|<\||:)", r"\1", text)
+    return re.sub(_ESCAPED, r"\1", text)
 
 
 @dataclass
@@ -110,7 +111,7 @@ def text_parts(text: Column) -> Column:
 
 
 def formatted(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", parts: Column | None = None) -> DataFrame:
-    """One formatted row for each turn: conv, turn, formatted, mask spans, attachments and expanded tokens, ready to be put in order."""
+    """One formatted row for each turn: conv, turn, role, formatted, span of the content, mask spans, attachments and expanded tokens, ready to be put in order."""
     content = parts if parts is not None else text_parts(F.col("text"))
     flat = rows.select(F.col(conversation).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), content.alias("parts"))
     attachment = pa.list_(pa.struct([("kind", pa.string()), ("uri", pa.string()), ("tokens", pa.int64())]))
@@ -119,18 +120,22 @@ def formatted(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn"
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                done, masks, files = [], [], []
+                done, masks, files, edges = [], [], [], []
                 for role_, parts_ in zip(part.column("role").to_pylist(), part.column("parts").to_pylist()):
                     text, begin, end, found = format_turn(role_, parts_ or [])
                     done.append(text)
                     masks.append([{"start": begin, "end": end}] if role_ == "assistant" else [])
                     files.append(found)
+                    edges.append((begin, end))
                 mask = pa.array(masks, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 tokens = pa.array([sum(x["tokens"] for x in f) for f in files], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("conv"), part.column("turn"), pa.array(done), mask, pa.array(files, attachment), tokens], ["conv", "turn", "formatted", "mask", "attachments", "attachment_tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("conv"), part.column("turn"), part.column("role"), pa.array(done), *(pa.array(x, pa.int32()) for x in zip(*edges)), mask, pa.array(files, attachment), tokens],
+                    ["conv", "turn", "role", "formatted", "begin", "end", "mask", "attachments", "attachment_tokens"],
+                )
 
     kinds = dict(rows.dtypes)
-    return flat.mapInArrow(run, f"conv {kinds[conversation]}, turn {kinds[turn]}, formatted string, mask array<struct<start:bigint,end:bigint>>, attachments array<struct<kind:string,uri:string,tokens:bigint>>, attachment_tokens long")
+    return flat.mapInArrow(run, f"conv {kinds[conversation]}, turn {kinds[turn]}, role string, formatted string, begin int, end int, mask array<struct<start:bigint,end:bigint>>, attachments array<struct<kind:string,uri:string,tokens:bigint>>, attachment_tokens long")
 
 
 def read_back(turns: DataFrame, on: str = "conv_id") -> DataFrame:
@@ -171,8 +176,11 @@ def read_back(turns: DataFrame, on: str = "conv_id") -> DataFrame:
         if out:
             yield flush()
 
-    order = ["conv", "turn", "formatted"]
-    near = turns.repartition("conv").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order]).select("conv", "formatted", "mask")
+    # by turn, role and text: ties are settled by what is said, not by how it is escaped
+    body = F.substring(F.col("formatted"), F.col("begin") + 1, F.col("end") - F.col("begin"))
+    content = F.regexp_replace(body, _ESCAPED, "$1")
+    order = [F.col("conv"), F.col("turn"), F.col("role"), content]
+    near = turns.repartition("conv").sortWithinPartitions(*[c.asc_nulls_first() for c in order]).select("conv", "formatted", "mask")
     found = near.mapInArrow(run, f"conv {kind}, n long, turns string, loss long, loss_sha string, chars long")
     return found.select(
         F.col("conv").alias(on), F.col("n").alias("n_turns"), F.col("turns").alias("turns_sha256"), F.col("loss").alias("loss_chars"),

@@ -93,6 +93,42 @@ def test_clean(text):
     assert pii.find(text) == []
 
 
+LONG_TEXTS = [
+    "0" * 5000 + ".1.1.1", "1" * 40_000, "a" * 40_000 + " x@y.z", "a@" * 20_000, "1 " * 20_000, "1." * 20_000, "one " * 10_000, "+1" + " ()" * 20_000, "(at) " * 10_000,
+    "one" + " " * 40_000 + "x", "a (at) one" + " " * 40_000 + "x", "a" + "\t" * 40_000 + "at b (dot) c", "(dot)" + " " * 40_000 + "(", " dot " * 10_000, "x[at]" + "a-" * 20_000, "one" + " (" * 20_000, "(" + " " * 40_000 + "at",
+]
+
+
+@pytest.mark.parametrize("text", LONG_TEXTS)
+def test_long_runs_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    pii.find(text)
+    assert time.process_time() - began < 2
+
+
+def brute_base(text):
+    """The contract's patterns, as they stand, on the whole text."""
+    import re
+
+    found = []
+    for kind, pattern in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m.group() if c.isdigit()]
+            doubled = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))]
+            if kind == 0 or (kind == 1 and max(int(x) for x in m.group().split(".")) <= 255) or (kind == 2 and 14 <= len(digits) <= 19 and sum(doubled) % 10 == 0) or (kind == 3 and 10 <= len(digits) <= 15):
+                found.append((m.start(), kind, m.end()))
+    return [(a, b, k) for a, k, b in sorted(found)]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from([*"ab1@.-+_%() é", "@", "b.co", "1.", "23.", "255", "256", "007", "4111 1111 1111 1111", "4111-1111", "+1 921 555-83", "94", "..", "一"]), max_size=16).map("".join))
+def test_base_spans(text):
+    assert pii.plain(text) == brute_base(text)
+    assert [x[:3] for x in pii.find(text) if x[3]] == brute_base(text)
+
+
 def test_pii_query_columns(spark):
     data = [(1, "é a@b.co and 1.2.3.4, +1 (921) 555-8394; 4111 1111 1111 1111"), (2, None), (3, "999.1.1.1 4111 1111 1111 1112 +12")]
     got = {r["doc_id"]: r for r in pii.report(pii.detect(frame(spark, data, False))).collect()}
@@ -208,7 +244,7 @@ def test_chat_round_trip(turns):
 
 def test_chat(spark):
     said = r"\### Assistant: </turn> ok"
-    data = [(1, 1, "assistant", "é"), (1, 0, "user", None), (2, 0, None, "x"), (-7, 0, "user", said), (-7, 1, "assistant", said), (None, 0, "assistant", "n"), (1, 1, "assistant", "é")] + [(3, i, "assistant", f"t{i}") for i in range(3000)]
+    data = [(8, 0, r, t) for r in ("a", "a!", "a:", None) for t in ("\\\\x", "#x", "###", "zz", "<|", "<a")] + [(1, 1, "assistant", "é"), (1, 0, "user", None), (2, 0, None, "x"), (-7, 0, "user", said), (-7, 1, "assistant", said), (None, 0, "assistant", "n"), (1, 1, "assistant", "é")] + [(3, i, "assistant", f"t{i}") for i in range(3000)]
     got = chat.format_and_read(spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)))
     assert [r[:5] for r in rows(got)] == sorted(chat.brute_force(data), key=repr)
     assert chat.format_and_read(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
