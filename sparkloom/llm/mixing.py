@@ -6,11 +6,11 @@ at cost 1, a third at cost 4 and so on (convex), so words are repeated only wher
 The flow of a pattern fixes how often its documents are taken: all of them the same whole number of times, and those that
 come first in a seeded hash order once more, until the pattern's flow is met as nearly as whole documents allow.
 
-The driver sees one row for each source and pattern, and for the place at which a pattern is cut a histogram of hashes of
+The driver sees one row for each source and pattern. The place at which a pattern is cut is found in a histogram of hashes of
 fixed size; only the documents of the one histogram bin in which a cut falls are sorted.
 
-Defined cases: a null or empty text has size 0; a null source is a source, the last; an empty membership takes part in
-nothing; repeated rows are taken like any others, even if a third of all rows are the same; an empty table gives an empty
+Defined cases: a null or empty text has size 0; a null source is a source, the last; a membership is a set, whatever its
+order and repeats; an empty or null one takes part in nothing; repeated rows are taken like any others, even if a third of all rows are the same; an empty table gives an empty
 result; other columns are passed on by resample() and not read by taken().
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .plan import running, stored
@@ -84,35 +84,58 @@ class Flow:
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
-    """Shares of the total by weight, none above `most` times its size; what is cut off is shared again by weight."""
-    out, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(total)
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / weight > most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = left * weights[i] / weight
-            break
-        for i in full:
-            out[i] = float(most * sizes[i])
-        left -= sum(out[i] for i in full)
-        open_ -= set(full)
+    """Shares of the total by weight, none above `most` times its size; what is cut off is shared again by weight.
+
+    Shares only grow as others are cut off, so they fill up in the order of their limit by weight: one pass.
+    """
+    out, left, weight = [0.0] * len(sizes), float(total), float(sum(weights))
+    for i in sorted(range(len(sizes)), key=lambda i: (most * sizes[i] / weights[i], i)):
+        share = left * weights[i] / weight
+        out[i] = min(share, float(most * sizes[i]))
+        if share > most * sizes[i]:
+            left -= out[i]
+            weight -= weights[i]
     return out
 
 
 def route(patterns: Sequence[tuple[int, Sequence[int]]], quotas: Sequence[float], most: int) -> list[int]:
-    """Words that each pattern (size, sources) gives in the cheapest flow to the quotas."""
-    n, m = len(patterns), len(quotas)
-    net = Flow(n + m + 2)
-    first = []
-    for p, (size, sources) in enumerate(patterns):
-        first.append([net.arc(n + m, p, int(size), r * r) for r in range(most)])
+    """Words that each pattern (size, sources) gives in the cheapest flow to the quotas.
+
+    Patterns and sources that aren't connected by overlaps are networks of their own; so where each document has one source,
+    any number of sources takes time in proportion.
+    """
+    root = list(range(len(quotas)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for _, sources in patterns:
+        for s in sources[1:]:
+            root[find(s)] = find(sources[0])
+    nets: dict[int, tuple[list[int], dict[int, int]]] = {}
+    for p, (_, sources) in enumerate(patterns):
+        own, places = nets.setdefault(find(sources[0]), ([], {}))
+        own.append(p)
         for s in sources:
-            net.arc(p, n + s, int(size) * most, 0)
-    for s, q in enumerate(quotas):
-        net.arc(n + s, n + m + 1, round(q), 0)
-    net.run(n + m, n + m + 1)
-    return [sum(net.left[e ^ 1] for e in arcs) for arcs in first]
+            places.setdefault(s, len(places))
+    out = [0] * len(patterns)
+    for own, places in nets.values():
+        n, m = len(own), len(places)
+        net = Flow(n + m + 2)
+        first = []
+        for k, p in enumerate(own):
+            size, sources = patterns[p]
+            first.append([net.arc(n + m, k, int(size), r * r) for r in range(most)])
+            for s in sources:
+                net.arc(k, n + places[s], int(size) * most, 0)
+        for s, k in places.items():
+            net.arc(n + k, n + m + 1, round(quotas[s]), 0)
+        net.run(n + m, n + m + 1)
+        for p, arcs in zip(own, first):
+            out[p] = sum(net.left[e ^ 1] for e in arcs)
+    return out
 
 
 def plan(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2) -> tuple[list, list[int], list[float], dict]:
@@ -120,12 +143,18 @@ def plan(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
 
     The order is by code point with null last; weights repeat along it. Patterns and sources must fit the driver.
     """
-    found = [(tuple(r[0]), r[1] or 0) for r in rows.groupBy("_members").agg(F.sum("_size")).collect() if r[0]]
-    names = sorted({s for p, _ in found for s in p}, key=lambda s: (s is None, s or ""))
-    sizes = [sum(n for p, n in found if s in p) for s in names]
+    found = [(tuple(r[0]), r[1] or 0) for r in rows.groupBy("_members").agg(F.sum("_size")).collect() if r[0]]  # a row for each pattern
+    place = lambda s: (s is None, s or "")
+    sums: dict = {}
+    for p, n in found:
+        for s in p:
+            sums[s] = sums.get(s, 0) + n
+    names = sorted(sums, key=place)
+    number = {s: i for i, s in enumerate(names)}
+    sizes = [sums[s] for s in names]
     quotas = water_fill(sizes, [weights[i % len(weights)] for i in range(len(names))], share * sum(n for _, n in found), most)
-    found.sort(key=lambda x: [(s is None, s or "") for s in x[0]])
-    flows = route([(n, [names.index(s) for s in p]) for p, n in found], quotas, most)
+    found.sort(key=lambda x: [place(s) for s in x[0]])
+    flows = route([(n, [number[s] for s in p]) for p, n in found], quotas, most)
     return names, sizes, quotas, {p: (n, f) for (p, n), f in zip(found, flows)}
 
 
@@ -133,32 +162,25 @@ def taken(rows: DataFrame, flows: dict, seed: int = 11, bins: int = BINS) -> Dat
     """rows of (_id, _members, _size, _hash), stored; adds _copies, the times that each is taken."""
     spark = rows.sparkSession
     wanted = [(list(p), f // n if n else 0, f - f // n * n if n else 0) for p, (n, f) in flows.items()]
-    schema = "_members array<string>, _base int, _rest long"
-    table = F.broadcast(spark.createDataFrame(wanted, schema))  # a row for each pattern
-    rows = rows.join(table, rows["_members"].eqNullSafe(table["_members"])).drop(table["_members"])
-    rows = rows.withColumn("_bin", F.shiftrightunsigned("_hash", 52).cast("int"))
+    table = spark.createDataFrame(wanted, "_pattern array<string>, _base int, _rest long")  # a row for each pattern
+    same = lambda a, b: F.to_json(F.struct(a)) == F.to_json(F.struct(b.alias("_members")))
+    rows = rows.withColumn("_bin", F.shiftrightunsigned("_hash", 64 - (bins - 1).bit_length()).cast("int"))
     # the bin of each pattern in which its cut falls, and the size before it
-    bars: dict[tuple, list] = {}
-    for r in rows.groupBy("_members", "_bin").agg(F.sum("_size").alias("n")).collect():  # patterns x bins
-        bars.setdefault(tuple(r[0]), []).append((r[1], r[2]))
-    cuts = []
-    for p, base, rest in wanted:
-        before = 0
-        for b, n in sorted(bars.get(tuple(p), [])):
-            if before + n > rest:
-                break
-            before += n
-        else:
-            b = bins
-        cuts.append((p, b, before))
-    table = F.broadcast(spark.createDataFrame(cuts, "_members array<string>, _cut int, _start long"))
-    rows = rows.join(table, rows["_members"].eqNullSafe(table["_members"])).drop(table["_members"])
+    bars = rows.groupBy("_members", "_bin").agg(F.sum("_size").alias("_n"))
+    w = Window.partitionBy("_members").orderBy("_bin")  # `bins` rows
+    reached = bars.withColumn("_until", F.sum("_n").over(w)).join(F.broadcast(table), same(F.col("_members"), F.col("_pattern")))
+    over = F.col("_until") > F.col("_rest")
+    cuts = reached.groupBy("_members", "_base", "_rest").agg(
+        F.coalesce(F.min(F.when(over, F.col("_bin"))), F.lit(bins)).alias("_cut"), F.coalesce(F.min(F.when(over, F.col("_until") - F.col("_n"))), F.lit(0)).alias("_start")
+    )
+    cuts = stored(cuts, "cuts").withColumnRenamed("_members", "_pattern")
+    rows = rows.join(F.broadcast(cuts), same(F.col("_members"), F.col("_pattern"))).drop("_pattern")
     whole = rows.where(F.col("_bin") != F.col("_cut")).withColumn("_copies", F.col("_base") + (F.col("_bin") < F.col("_cut")).cast("int"))
     edge = rows.where(F.col("_bin") == F.col("_cut"))
-    edge, _ = running(edge, [F.to_json("_members"), F.col("_hash"), F.col("_id").asc_nulls_first()], {"_sum": F.col("_size")}, "edge")
+    edge, _ = running(edge, [F.to_json(F.struct("_members")), F.col("_hash"), F.col("_id").asc_nulls_first()], {"_sum": F.col("_size")}, "edge")
     # running sums go over all patterns; each starts where its first row does
-    firsts = edge.groupBy("_members").agg(F.min("_sum").alias("_from"))
-    edge = edge.join(F.broadcast(firsts), edge["_members"].eqNullSafe(firsts["_members"])).drop(firsts["_members"])
+    firsts = edge.groupBy("_members").agg(F.min("_sum").alias("_from")).withColumnRenamed("_members", "_pattern")  # a row for each pattern
+    edge = edge.join(F.broadcast(firsts), same(F.col("_members"), F.col("_pattern"))).drop("_pattern")
     here = F.col("_start") + F.col("_sum") - F.col("_from") + F.col("_size") / 2
     edge = edge.withColumn("_copies", F.col("_base") + (here <= F.col("_rest")).cast("int"))
     return whole.unionByName(edge.select(*whole.columns))
@@ -166,6 +188,7 @@ def taken(rows: DataFrame, flows: dict, seed: int = 11, bins: int = BINS) -> Dat
 
 def seeded(docs: DataFrame, members: Column, on: str, text: str, seed: int = 11) -> DataFrame:
     t = F.col(text)
+    members = F.array_sort(F.array_distinct(members.cast("array<string>")))
     return docs.select(F.col(on).alias("_id"), members.alias("_members"), words(t).alias("_size"), F.xxhash64(F.lit(seed), F.col(on), t).alias("_hash"))
 
 

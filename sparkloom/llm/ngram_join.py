@@ -7,17 +7,18 @@ Hamming distance is a lower bound of the symmetric difference. At Jaccard simila
 D = (1 - t) / (1 + t) * (|A| + |B|), so if a set has more than D blocks that aren't empty, at least one of them is equal in
 both (pigeonhole), and if blocks are taken in one global order, the first such block is among the first D + 1 of either. These
 blocks are the join keys. To have few pairs to verify, T more blocks are taken where there are D + T: then at least T of a
-similar pair's blocks meet, and pairs that meet in fewer are dropped without looking at their sets. Keys are made per size band (sizes 4**b to 4**(b+1); a set near the top of its band also takes part in the
-next). P is for a whole band the least at which every set of it has enough blocks, so no link can be lost.
+similar pair's blocks meet, and pairs that meet in fewer are dropped without looking at their sets. Keys are made per size band
+(sizes 4**b to 4**(b+1); a set near the top of its band also takes part in the next). P is for a whole band the least at which every set of it has enough blocks, so no link can be lost.
 
 The global order puts blocks with rare shingles first, by a count sketch of fixed size over the whole corpus, so that passages
 which many documents share are hardly ever keys; it is only an order, any sketch gives the same links. Keys whose count may be
 large are spread over a grid of tasks. Pairs that meet are verified on the full sets, grouped by their smallest partner so that
-a set is sent to few tasks. Components are found by alternating stars. Nothing grows on the driver.
+a set is sent to few tasks; groups with too many pairs or too large sets are cut into cells. Components are found by alternating
+stars. Nothing grows on the driver. The links between n different near copies are n (n - 1) / 2, and all of them are counted.
 
 Defined cases: null and empty texts, and those without words, have an empty set, n_similar 0 and themselves as component; one
-or two words are one shingle; equal texts are linked; repeated rows count each as a document; a null id stays null; an empty
-table gives an empty result; other columns aren't read, or passed on by keep_first().
+or two words are one shingle; equal texts are linked; repeated rows count each as a document; a null id stays null; ids that
+aren't whole numbers raise an error; words and texts have any length; an empty table gives an empty result; other columns aren't read, or passed on by keep_first().
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .plan import join_skewed, running, stored
+from .plan import join_skewed, running, stored, whole_ids
 from .quality_rules import free_name
 
 U64 = np.uint64
@@ -71,7 +72,7 @@ class Bound:
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """The sorted hashes of each text's distinct shingles."""
     starts, ends, first = K.spans(K.IS_WORD[raw], offsets)
-    words = K.Hasher(raw, K.LOWER_VALUE)(starts, ends)
+    words = K.span_hashes(raw, starts, ends, lower=True)
     every, out = K.shingles(words, width), []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= width:
@@ -148,12 +149,12 @@ def survey(docs: DataFrame, on: str, text: str, width: int, bound: Bound) -> Dat
             )
         rows = [(2, b, mask, None) for b, mask in failed.items()]
         if failed:
-            low = np.minimum(counts, 65535).astype(np.uint16).reshape(SLICES, -1)
+            low = np.minimum(counts, (1 << 32) - 1).astype(np.uint32).reshape(SLICES, -1)  # of one task
             rows += [(1, i, 0, x.tobytes()) for i, x in enumerate(low)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["kind", "id", "n", "data"])
 
-    found = docs.select(F.coalesce(F.col(on).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_text"))
+    found = docs.select(F.coalesce(whole_ids(docs, on), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_text"))
     return stored(found.mapInArrow(run, "kind int, id long, n long, data binary"), "survey")
 
 
@@ -164,7 +165,7 @@ def rarity_of(surveyed: DataFrame) -> np.ndarray:
         total = None
         for batch in batches:
             for x in batch.column("data"):
-                one = np.frombuffer(x.as_py(), np.uint16).astype(np.int64)
+                one = np.frombuffer(x.as_py(), np.uint32).astype(np.int64)
                 total = one if total is None else total + one
         level = np.minimum(255, 4 * np.log2(total + 1)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([level.tobytes()], pa.binary())], ["id", "data"])
@@ -284,21 +285,34 @@ def candidates(reps: DataFrame, width: int, bound: Bound, levels: dict[int, int]
     return stored(enough.select("a", "b"), "candidates")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, bound: Bound, group_pairs: int = 2_000_000, group_bytes: int = 24 << 20) -> DataFrame:
-    """The pairs whose sets are as similar as asked."""
+def verify(
+    pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, bound: Bound, group_pairs: int = 2_000_000, group_bytes: int = 24 << 20, small_classes: int = BROADCAST_CLASSES,
+) -> DataFrame:
+    """The pairs whose sets are as similar as asked.
+
+    Pairs are grouped by their home, the least partner of their second. A home whose pairs or sets are too many for a task is cut
+    into cells: rows by a, and, if its sets are too large together, columns by b; so a set with any number of partners is spread.
+    """
     spark = pairs.sparkSession
-    n_pairs = pairs.count()
     least = pairs.groupBy("b").agg(F.min("a").alias("_least")).withColumnRenamed("b", "a")
     joined = pairs.join(least, "a", "left").withColumn("_home", F.coalesce("_least", "a")).drop("_least")
-    crowds = joined.groupBy("_home").count().where(F.col("count") > group_pairs)  # under n_pairs / group_pairs rows
-    joined = joined.join(F.broadcast(crowds), "_home", "left")
-    part = F.floor(F.coalesce(F.col("count"), F.lit(0)) / group_pairs) + 1
-    joined = joined.withColumn("_home", F.xxhash64("_home", F.pmod(F.xxhash64("a"), part)))
-    members = joined.select("_home", F.explode(F.array("a", "b")).alias("_cid")).distinct()
-    words = members.join(classes.select("_cid", "_n"), "_cid").agg(F.sum("_n"), F.count("*")).first()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(8 * (words[0] or 0) + 16 * n_pairs) // group_bytes))
+    sizes = classes.select("_cid", "_n")
+    members = lambda rows: rows.select("_home", F.explode(F.array("a", "b")).alias("_cid")).distinct()
+    weight = members(joined).join(sizes, "_cid").groupBy("_home").agg(F.sum(8 * F.col("_n")).alias("_bytes"))
+    homes = stored(joined.groupBy("_home").agg(F.count("*").alias("_pairs")).join(weight, "_home"), "homes")
+    columns = F.when(F.col("_bytes") > group_bytes, F.ceil(2 * F.col("_bytes") / group_bytes)).otherwise(1)
+    rows = F.greatest(F.ceil(F.col("_pairs") / group_pairs), columns)
+    # those that are cut are fewer than all pairs / group_pairs and all sets' bytes / group_bytes
+    cut = homes.where((F.col("_pairs") > group_pairs) | (F.col("_bytes") > group_bytes)).select("_home", rows.alias("_rows"), columns.alias("_columns"))
+    total = homes.agg(F.sum("_pairs"), F.sum("_bytes")).first()
+    copied = homes.join(F.broadcast(cut), "_home").agg(F.sum(F.col("_bytes") * (F.col("_rows") + F.col("_columns")))).first()[0] or 0
+    joined = joined.join(F.broadcast(cut), "_home", "left")
+    cell = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(F.col(n), F.lit(1)))
+    joined = joined.select(F.xxhash64("_home", cell("a", "_rows"), cell("b", "_columns")).alias("_home"), "a", "b")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-((total[1] or 0) + copied + 16 * (total[0] or 0)) // group_bytes))
     slot = lambda: F.pmod(F.xxhash64("_home"), F.lit(parts)).cast("int").alias("_slot")
-    needed = stored(members.select(slot(), "_cid").distinct().groupBy("_cid").agg(F.collect_set("_slot").alias("_slots")).join(classes.select("_cid", "_rep", "_key"), "_cid"), "needed")
+    slots = members(joined).select(slot(), "_cid").distinct().groupBy("_cid").agg(F.collect_set("_slot").alias("_slots"))
+    needed = stored(slots.join(classes.select("_cid", "_rep", "_key"), "_cid"), "needed")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in K.pieces(batches, "_text"):
@@ -309,7 +323,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, bo
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["_slot", "_cid", "_set"])
 
-    small = needed.count() <= BROADCAST_CLASSES
+    small = needed.count() <= small_classes
     texts = docs.join(F.broadcast(needed) if small else needed, docs["_id"] == needed["_rep"]).select("_key", "_cid", "_slots", "_text")
     sent = texts.mapInArrow(sets, "_slot int, _cid long, _set binary")
 
@@ -362,23 +376,23 @@ def components(links: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 100_000])], ["u", "v"])
 
     edges = stored(links.select("a", "b").mapInArrow(contract, "u long, v long").distinct(), "edges")
-    before = None
+    before, total = None, 2 * edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = join_skewed(both.where("v > u"), least, "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_skewed(down, least, "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         edges = stored(small.distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, total = now, 2 * now[0]
     return edges.select(F.col("u").alias("_cid"), F.col("v").alias("_root"))
 
 
-def _facts(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_id", text: str = "text", grid: int = GRID, bucket_keys: int = 3_000_000) -> tuple[DataFrame, DataFrame]:
+def _facts(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_id", text: str = "text", grid: int = GRID, bucket_keys: int = 3_000_000, small_classes: int = BROADCAST_CLASSES, **limits) -> tuple[DataFrame, DataFrame]:
     """Id, size and key of each row, and for each class: key, n_similar, component, rows, and its least id if it is its component's first."""
     bound = Bound(percent)
     surveyed = survey(docs, on, text, width, bound)
@@ -387,12 +401,12 @@ def _facts(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_id
     classes, total = running(grouped, [F.col("_rep"), F.col("_key")], {"_cid": F.lit(1), "_before": F.col("_n")}, "classes")
     classes = stored(classes.drop("_before"), "classes")
     levels = {r[0]: lowest(r[1]) for r in surveyed.where("kind = 2").groupBy("id").agg(F.bit_or("n")).collect()}  # a row for each band
-    flat = docs.select(F.coalesce(F.col(on).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_text"))
+    flat = docs.select(F.coalesce(whole_ids(docs, on), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_text"))
     keyed = classes.select("_cid", "_rep", "_key")
-    reps = flat.join(F.broadcast(keyed) if total["_cid"] <= BROADCAST_CLASSES else keyed, F.col("_id") == F.col("_rep")).select("_cid", "_key", "_text")
+    reps = flat.join(F.broadcast(keyed) if total["_cid"] <= small_classes else keyed, F.col("_id") == F.col("_rep")).select("_cid", "_key", "_text")
     buckets = max(1, -(-total["_before"] // (2 * bucket_keys)))  # about half as many keys as shingles
     pairs = candidates(reps, width, bound, levels, rarity_of(surveyed), buckets, grid)
-    links = verify(pairs, flat, classes, width, bound)
+    links = verify(pairs, flat, classes, width, bound, small_classes=small_classes, **limits)
     both = links.select(F.col("a").alias("_cid"), F.col("b").alias("_other")).unionByName(links.select(F.col("b").alias("_cid"), F.col("a").alias("_other")))
     sizes = classes.select(F.col("_cid").alias("_other"), F.col("_size").alias("_others"))
     near = both.join(sizes, "_other").groupBy("_cid").agg(F.sum("_others").alias("_near"))

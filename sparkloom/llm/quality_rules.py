@@ -5,7 +5,8 @@ thirds of the labelled rows by information gain, pruned on the rest by precision
 aside before the next one is grown. The list is emitted as one ordered Spark conditional, so that it runs inside
 code generation; only the statistics themselves need Python, over Arrow buffers.
 
-Defined cases: a null or empty text has no words and fails the base rules; repeated rows are judged each alike; an empty
+Defined cases: a null or empty text has no words and fails the base rules; words and lines have any length; repeated rows are
+judged each alike and learned from once; ids may be of any type that labels and documents share; an empty
 table gives an empty result; without labels of both kinds the list is empty and keeps what the base rules keep; columns of
 the input are passed on whatever their names, as all statistics are in one struct whose name is free in the input.
 """
@@ -33,8 +34,7 @@ def counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     starts, ends, first = K.spans(K.IS_WORD[raw], offsets)
     lead = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(K.IS_LEAD[raw], out=lead[1:])
-    hasher = K.Hasher(raw)
-    words, row = hasher(starts, ends), K.row_of(first, len(starts))
+    words, row = K.span_hashes(raw, starts, ends), K.row_of(first, len(starts))
     sizes = lead[ends] - lead[starts]
     out = {"n_words": np.diff(first), "word_chars": K.sums_by_row(sizes, first)}
     for name, table in (("n_symbols", _SYMBOLS), ("n_upper", _UPPER), ("n_bangs", _BANGS), ("n_stops", _STOPS), ("n_digits", _DIGITS)):
@@ -44,7 +44,7 @@ def counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     full = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
     begin, end = begin[full], end[full]
     line_row = np.searchsorted(offsets, begin, "right") - 1
-    key = K.mix(hasher(begin, end) + K.mix(line_row.astype(K.U64)))
+    key = K.mix(K.span_hashes(raw, begin, end) + K.mix(line_row.astype(K.U64)))
     order = np.argsort(key, kind="stable")
     again = np.zeros(len(key), bool)
     again[order[1:]] = key[order[1:]] == key[order[:-1]]
@@ -190,15 +190,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", on: str = "d
     """Learns from at most `max_rows` labelled documents, the first in the order of a seeded hash of their ids.
 
     A label of 0 is a document to reject; null labels and ids are left out, and of several labels of an id the lowest counts.
-    What the base rules reject isn't learned from, as the list is only asked about the rest.
+    Of several rows of an id the one with the least hash of its text is learned from. What the base rules reject isn't
+    learned from, as the list is only asked about the rest. So the driver sees one row of statistics for each chosen id.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col(on).isNotNull()).groupBy(on).agg(F.min(label).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(seed), on), on).limit(max_rows)
     rows = docs.select(on, text).join(F.broadcast(chosen), on)  # max_rows ids
     found = with_counts(rows.select(on, "_label", F.col(text).alias("text")), "text", "_counts")
-    values = statistics(F.col("_counts"))
-    data = found.where(~base_failed(F.col("_counts"))).select(F.col(on).alias("_id"), "_label", *[v.alias(k) for k, v in values.items()]).toPandas()
-    data = data.sort_values(["_id", *values], kind="stable").head(2 * max_rows)
+    found = found.where(~base_failed(F.col("_counts"))).select(F.col(on).alias("_id"), "_label", "_counts", F.xxhash64("text").alias("_order"))
+    # partial sums keep one row for each id before anything is sent, so a hot id stays one row
+    one = found.groupBy("_id").agg(F.min_by(F.struct("_label", "_counts"), F.struct("_order", F.to_json("_counts"))).alias("_one"))
+    values = statistics(F.col("_one._counts"))
+    data = one.select("_id", F.col("_one._label").alias("_label"), *[v.alias(k) for k, v in values.items()]).toPandas()  # max_rows
+    data = data.sort_values("_id", kind="stable")
     names = list(values)
     return learn(data[names].to_numpy(float), data["_label"].to_numpy() == 0, names, precision, seed=seed)
 

@@ -14,6 +14,7 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 PIECE_BYTES = 1 << 20
 U64 = np.uint64
@@ -128,6 +129,23 @@ class Hasher:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(U64))
 
 
+#: sums of powers modulo 2**64 tell spans of up to so many bytes apart; longer ones, for which they have regular collisions, get another hash
+LONG = 48
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of spans of any length, with A-Z as a-z if asked."""
+    out = Hasher(raw, LOWER_VALUE if lower else BYTE_VALUE)(starts, ends)
+    long_ = np.flatnonzero(ends - starts > LONG)
+    if len(long_):
+        data = raw.tobytes()
+        data = data.lower() if lower else data
+        digest = xxhash.xxh3_64_intdigest
+        found = [digest(data[a:b]) for a, b in zip(starts[long_].tolist(), ends[long_].tolist())]
+        out[long_] = mix(np.array(found, U64))
+    return out
+
+
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word windows of a row of word hashes."""
     n = len(hashes) - k + 1

@@ -12,7 +12,7 @@ number has a 32-bit fingerprint, by which other keys are told apart, shard, offs
 So a lookup costs a few probes and one read, whatever the corpus size.
 
 Defined cases: a null or empty text has the end id only; repeated ids have a key for each row (id and number of the row, in the
-order of a hash of the text); a null id is a key, the first; an empty table gives no shard and an empty result; other
+order of a hash of the text); a null id is a key, the first; ids that aren't whole numbers raise an error; an empty table gives no shard and an empty result; other
 columns aren't read.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .plan import new_path, stored
+from .plan import new_path, stored, whole_ids
 
 U64 = np.uint64
 MAGIC = b"SLTOKEN1"
@@ -43,6 +43,8 @@ CORES = 800_000
 #: Latin-1 letters, then signs that no contraction begins with
 _CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|()]*)")
 INDEX_KEYS = 200_000
+#: rows of one id that are numbered at a time
+CHUNK = 10_000
 
 
 # --- encoding --------------------------------------------------------------------------------------------------------
@@ -212,7 +214,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, on: str = "d
     """Writes shards under path; returns, stored, (_id, _row, _shard, _file, _offset, _count) for each document."""
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    flat = docs.select(F.col(on).cast("long").alias("_id"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_tie"))
+    flat = docs.select(whole_ids(docs, on).alias("_id"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_tie"))
     order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text"), F.col("_tie")]
     ranged = flat.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_tie")
 
@@ -357,8 +359,11 @@ def round_trip(docs: DataFrame, tokenizer: str, end: int = 2, on: str = "doc_id"
     """Writes the documents, indexes them, and reads each back by its key: id, start, n_tokens, ids_crc32."""
     path = new_path(docs.sparkSession, "tokens")
     indexed = index(write(docs, path, tokenizer, end, on, text, shards), path)
-    many = docs.groupBy(F.col(on).cast("long").alias("_id")).count()
-    keys = many.select("_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("_row"))
+    many = docs.groupBy(whole_ids(docs, on).alias("_id")).count()
+    # a third of all rows may have one id: their numbers are made in chunks, not in one array
+    chunks = many.select("_id", "count", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / CHUNK))).alias("_chunk"))
+    first = F.col("_chunk") * CHUNK
+    keys = chunks.select("_id", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("count")) - 1)).alias("_row"))
     found = read(keys, path, indexed)
     return found.select(F.col("_id").alias(on), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
