@@ -228,10 +228,31 @@ def test_decontamination(spark):
     assert decontamination.clean(df, bench.limit(0)).count() == len(data) and decontamination.clean(df.limit(0), bench).count() == 0
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=9), max_size=5), st.lists(st.lists(st.sampled_from("abcd"), max_size=200), max_size=4), st.integers(1, 5))
+def test_automaton(items, docs, window):
+    items = [(i // 2, " ".join(w)) for i, w in enumerate(items)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    matcher = decontamination.Matcher([(str(i), t) for i, t in items], window)
+    counts, found, names = matcher.scan([t.encode() for _, t in docs])
+    got = [(i, n, sum(b - a for a, b in f), len(k), hashlib.sha256(",".join(sorted(k)).encode()).hexdigest(), bool(f)) for (i, _), n, f, k in zip(docs, counts, found, names)]
+    assert got == decontamination.brute_force(docs, items, window)
+
+
+def test_long_items_in_parts(spark):
+    long_ = " ".join(f"w{i}" for i in range(700))
+    items = [(1, long_), (None, long_[300:900]), (2, "only four words here")]
+    data = [(1, long_), (2, " ".join(long_.split()[400:425])), (3, "w1 w2 w3"), (4, "and only four words here too"), (5, " ".join(f"w{i}" for i in range(350, 359)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (400, 1 << 20):
+        found = decontamination.find(frame(spark, data), bench, name="hits", block_bytes=block)
+        assert rows(decontamination.report(found, name="hits")) == sorted(decontamination.brute_force(data, items), key=repr)
+
+
 def test_source_spans():
     raw = "é, One—two  THREE".encode()
-    _, found, _ = decontamination.Matcher([("i", "two three")], 10).scan(raw)
-    assert found == [] and decontamination.source_spans(raw, [(1, 2)]) == [(3, 10)]
+    assert [decontamination.Matcher([("i", t)], 10).scan([raw])[1] for t in ("two three", "THREE")] == [[[]], [[(2, 3)]]]
+    assert decontamination.source_spans(raw, [(1, 2)]) == [(3, 10)]
 
 
 # --- 5 ---------------------------------------------------------------------------------------------------------------
