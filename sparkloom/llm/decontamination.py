@@ -8,7 +8,7 @@ The automaton works on numbers of words and lies in a few arrays: its trie is bu
 the rank of its edge (parent and word) among all edges, and goto is a binary search; failure and output links are arrays too.
 Texts are cut into stretches that overlap by a window less one word, and all stretches of a piece are scanned in step.
 
-The automaton is built in each Python worker from the broadcast items, in about 25 bytes for each byte of items. A benchmark of
+The automaton is built in each Python worker from the broadcast items, in about 75 bytes for each byte of items. A benchmark of
 more than `block_bytes` is cut into blocks by a hash of item and text, items of more than `block_bytes` / 4 into overlapping
 parts, and the texts are scanned once for each block, so that neither broadcast nor automaton grows.
 
@@ -35,8 +35,8 @@ from .plan import stored
 from .quality_rules import free_name
 
 WINDOW = 10
-#: items of one automaton: 8 MB of them take a worker some 250 MB
-BLOCK_BYTES = 8 << 20
+#: items of one automaton: 4 MB of them take a worker some 300 MB while it is built
+BLOCK_BYTES = 4 << 20
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _IS_WORD = np.array([c != 32 for c in _TABLE])
 

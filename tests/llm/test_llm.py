@@ -289,35 +289,107 @@ PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>
 <form><p>f</p></form><ul><li>one<li>two</ul></article><div class="comments"><p>reader</p></div><footer>&copy; f</footer></body></html>"""
 
 
+def main_lines(html):
+    return [t for t, z in html_main.blocks(html) if z == html_main.MAIN]
+
+
 def test_blocks():
-    assert [t for t, z in html_main.blocks(PAGE) if z == html_main.MAIN] == ["A & B", "bold more", "x y z <b>", "one", "two"]
-    assert [t for t, z in html_main.blocks(PAGE) if z == html_main.OTHER] == []
+    assert main_lines(PAGE) == ["A & B", "bold more", "x y z <b>", "one", "two"]
+    assert [t for t, z in html_main.blocks(PAGE) if z == html_main.OPEN] == []
     cut = PAGE[: PAGE.index("x  y") + 3] + "<b"
-    assert [t for t, z in html_main.blocks(cut)] == ["A & B", "bold more", "x"]
+    assert main_lines(cut) == ["A & B", "bold more", "x"]
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<article><h2 id="related-work">Related work</h2><p id="legal">L</p><p class="notice-period">N</p><p>ok</p></article>', ["Related work", "L", "N", "ok"]),
+        ("<article><p class=it's>hello</p><p title='a > b'>world</p></article>", ["hello", "world"]),
+        ("<div class='content-sidebar-wrap with-sidebar'><article><p>a</p></article></div>", ["a"]),
+        ("<article><p data-x=\"a class=ad b\">kept</p><div class='ad'>gone</div><div class='entry'><p>in</p></div><math>x</math></article>", ["kept", "in", "x"]),
+        ("<div id=comments><article class=comment><p>reader</p></article></div><article><p>a &am<b></b>p; b</p></article>", ["a &amp; b"]),
+        ("<article><p hidden>no</p><p style='display: none'>no</p><p aria-hidden=true>no</p>yes<header><h1>h</h1></header></article>", ["yes", "h"]),
+        ("<article><table><tr><td>a<td>b<tr><th>c</table><ul><li>d<p>e<li>f</ul><dl><dt>g<dd>h</dl></article>", ["a", "b", "c", "d", "e", "f", "g", "h"]),
+    ],
+)
+def test_article_text(html, want):
+    assert main_lines(html) == want
+
+
+@pytest.mark.parametrize("html", ["<i>" * 8000 + "</b>" * 8000, "<i>" * 8000 + "x<p>" * 8000, "<i>" + "<div>" * 8000 + "</i>" * 8000, "<u><div>" + "<b>" * 8000 + "</u>" * 8000, "<p>" * 30_000, "<li><i>" * 8000, "a<" * 30_000, "<p " * 30_000, "<!--" * 20_000])
+def test_markup_takes_linear_time(html):
+    import time
+
+    began = time.process_time()
+    html_main.blocks(html)
+    assert time.process_time() - began < 1
 
 
-def test_shared_lines_is_longest():
-    r = random.Random(2)
-    for _ in range(200):
-        a, b = ([r.choice("abcd") for _ in range(r.randrange(9))] for _ in range(2))
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        found = sorted(html_main.shared_lines(a, b))
-        it = iter(b)
-        assert len(found) == best[-1][-1] and all(a[i] in it for i in found)
+def longest_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
 
 
-def test_differencing(spark):
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=30), st.lists(st.sampled_from("abcd"), max_size=30), st.sampled_from([1, 40, 1 << 28]))
+def test_shared_lines_is_longest(a, b, most):
+    found = sorted(html_main.shared_lines(a, b, most))
+    it = iter(b)
+    assert len(found) == longest_common(a, b) and all(a[i] in it for i in found)
+
+
+def test_shared_lines_of_long_pages():
+    import time
+
+    began = time.process_time()
+    a = ["x"] * 3000
+    assert len(html_main.shared_lines(a, a[:2000])) == 2000 and len(html_main.shared_lines(["y", *a, "z"], ["u", *a, "v"])) == 3000
+    assert len(html_main.shared_lines([str(i % 7) for i in range(3000)], [str(i % 5) for i in range(3000)])) > 1000
+    assert time.process_time() - began < 3
+
+
+@pytest.mark.parametrize("limits", [{}, {"small_classes": 0}])
+def test_differencing(spark, limits):
     plain = lambda t: f"<html><body><div>Home News</div><p>{t}</p><p>second {t}</p><div>All rights</div></body></html>"
+    marked = lambda i: f"<div>Home</div><article><p>both</p><div class='x{i}'>Follow us</div><div class=y>own {i}</div><p>{i}</p></article>"
     data = [(i, f"https://h.example.com/a/{i}?q=1", plain(f"own {i}")) for i in range(5)] + [(9, "https://other.example.com/z", plain("lone")), (10, None, None), (11, "u", ""), (12, "https://h.example.com/a/2", PAGE)]
-    got = {r["page_id"]: r["text"] for r in html_main.extract(spark.createDataFrame(data, "page_id long, url string, html string").withColumn("_lines", F.lit(1))).collect()}
-    assert all(got[i] == f"own {i}\nsecond own {i}" for i in range(5))
+    data += [(20, "http://c.example.com/1", plain("copy")), (21, "http://c.example.com/1?x", plain("copy")), (22, "http://c.example.com/2", plain("other"))] + [(30 + i, f"http://M.example.com/{i}", marked(i)) for i in range(3)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("_lines", F.lit(1))
+    found = {r["page_id"]: r for r in html_main.extract(df, **limits).collect()}
+    got = {k: r["text"] for k, r in found.items()}
+    assert len(found) == len(data) and all(got[i] == f"own {i}\nsecond own {i}" for i in range(5))
     assert got[9] == "Home News\nlone\nsecond lone\nAll rights" and got[10] == got[11] == "" and got[12].startswith("A & B")
+    assert got[20] == got[21] == "copy\nsecond copy" and found[20]["n_deleted"] == 2
+    assert [got[30 + i] for i in range(3)] == [f"both\nown {i}\n{i}" for i in range(3)] and found[31]["n_shared"] == 3 and found[31]["n_deleted"] == 1
     assert html_main.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pairing_against_brute_force(spark):
+    r = random.Random(4)
+    data = [(i, f"http://{r.choice('ab')}.example.com/{r.choice('xyz')}/{r.randrange(5)}", "".join(f"<p>{r.choice('abcd')}</p>" for _ in range(r.randrange(1, 8)))) for i in range(60)]
+    got = {x["page_id"]: x["text"] for x in html_main.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    import re
+
+    classes = {}
+    for _, url, html in data:
+        host, path = re.match(r"http://([^/]*)(.*)", url).groups()
+        lines = tuple(re.findall(r"<p>(.)</p>", html))
+        raw = b"".join(hashlib.blake2b(x.encode(), digest_size=8).digest() for x in lines)
+        key = (host, lines)
+        place = (path, hashlib.blake2b(host.encode() + b"\0" + raw, digest_size=16).digest())
+        classes[key] = min(classes.get(key, place), place)
+    order = sorted(classes, key=lambda k: (k[0], *classes[k]))
+    for i, url, html in data:
+        key = (re.match(r"http://([^/]*)", url).group(1), tuple(re.findall(r"<p>(.)</p>", html)))
+        at = order.index(key)
+        near = [order[k][1] for k in (at - 1, at + 1) if 0 <= k < len(order) and order[k][0] == key[0]]
+        gone = set().union(*(html_main.shared_lines(list(key[1]), list(o)) for o in near)) if near else set()
+        assert got[i] == "\n".join(x for k, x in enumerate(key[1]) if k not in gone)
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 
 
