@@ -100,8 +100,8 @@ with cut as (
   select page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:h[1-6]|p|div|section|ul|ol|li|blockquote|pre)>') as b from pages),
 plain as (select page_id, url, list_transform(b, lambda x: regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')) as b from cut),
 decoded as (
-  select page_id, url, list_transform(b, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(x,
-    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))) as b from plain),
+  select page_id, url, list_transform(b, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(x,
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) as b from plain),
 found as (select page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) as text from decoded)
 select page_id, url, text, length(text)::bigint as n_chars from found""",
     "op8_ngram_join": r"""
