@@ -2,25 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: documents that are counted at a time
+DOCS = 2000
 PERCENTS = (0.0, 0.05, 0.1, 0.25, 0.5, 0.75, 0.8, 0.85, 0.9, 0.95, 0.98, 0.99, 1.0)
 
 
 def frequencies(docs: DataFrame, words: Column, *by: str) -> DataFrame:
     """token, doc_freq, term_freq, for each value of `by`, with one shuffle.
 
-    A document gives its words, each counting for term_freq, and its distinct words, each counting for doc_freq; both are added up
-    within a partition before they move, so a frequent token is one row for each.
+    Each Arrow batch of documents is counted as a whole by numbers of its distinct words, so that a word is one row for each
+    batch (and value of `by`) before anything moves, however often it occurs.
     """
-    entry = lambda t, d, n: F.struct(t.alias("token"), F.lit(d).cast("long").alias("d"), F.lit(n).cast("long").alias("n"))
-    every = F.concat(F.transform(words, lambda t: entry(t, 0, 1)), F.transform(F.array_distinct(words), lambda t: entry(t, 1, 0)))
-    flat = docs.select(*by, F.explode(every).alias("_t"))
-    return flat.groupBy(*by, F.col("_t.token").alias("token")).agg(F.sum("_t.d").alias("doc_freq"), F.sum("_t.n").alias("term_freq"))
+    kinds = dict(docs.dtypes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS):
+                part = batch.slice(at, DOCS)
+                lists = part.column("_words")
+                flat = lists.flatten()
+                if not len(flat):
+                    continue
+                coded = flat.dictionary_encode()
+                code, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+                rows = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()) if not lists.null_count else np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+                group = np.zeros(part.num_rows, np.int64)
+                for c in by:
+                    own = part.column(c).dictionary_encode(null_encoding="encode")
+                    group = np.unique(group * (len(own.dictionary) + 1) + own.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+                place = group[rows] * n + code
+                keys, first, terms = np.unique(place, return_index=True, return_counts=True)
+                # one for each word of a document
+                once = np.unique(rows * n + code)
+                found = np.searchsorted(keys, group[once // n] * n + once % n)
+                docs_ = np.bincount(found, minlength=len(keys))
+                taken = pa.array(rows[first])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(taken) for c in by), coded.dictionary.take(pa.array(keys % n)), pa.array(docs_.astype(np.int64)), pa.array(terms.astype(np.int64))], [*by, "token", "d", "n"])
+
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + "token string, d long, n long"
+    flat = docs.select(*by, words.alias("_words")).mapInArrow(count, schema)
+    return flat.groupBy(*by, "token").agg(F.sum("d").alias("doc_freq"), F.sum("n").alias("term_freq"))
 
 
 def corpus_counts(docs: DataFrame, words: Column) -> DataFrame:

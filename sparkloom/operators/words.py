@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,12 +64,16 @@ def english_token(t: Column) -> Column:
     return ~bad & F.forall(parts, lambda p: english_part(p, phrase))
 
 
-def english_words(c: Column) -> Column:
-    """Distinct words and phrases in the order of their first occurrence."""
+def english_candidates(c: Column) -> Column:
+    """Distinct normalised strings that may be words or phrases, in the order of their first occurrence."""
     found = F.regexp_extract_all(X.dashes_to_bars(c), F.lit(ENGLISH), F.lit(0))
     # candidates are ASCII, so compatibility normalisation leaves them as they are
-    normal = F.transform(found, lambda t: F.regexp_replace(F.lower(F.trim(F.regexp_replace(t, "\\s+", " "))), "^[ ._\\-]+|[ ._\\-]+$", ""))
-    return F.array_distinct(F.filter(normal, english_token))
+    return F.array_distinct(F.transform(found, lambda t: F.regexp_replace(F.lower(F.trim(F.regexp_replace(t, "\\s+", " "))), "^[ ._\\-]+|[ ._\\-]+$", "")))
+
+
+def english_words(c: Column) -> Column:
+    """Distinct words and phrases in the order of their first occurrence."""
+    return F.filter(english_candidates(c), english_token)
 
 
 _QUESTION = "值不值得|值不值|好不好|怎么回事|怎么看|怎么办|为什么|怎么|什么|哪家|是否|(?:么|呢|吗)$"
@@ -107,15 +109,27 @@ def chinese_token(t: Column) -> Column:
     return ~bad & F.forall(segments, good)
 
 
-def chinese_words(c: Column) -> Column:
+def chinese_candidates(c: Column) -> Column:
     """Distinct tags in the order of their first occurrence; a tag with two commas or more is a list of tags."""
     tags = F.filter(F.transform(F.split(X.nfkc(c, lower=False), "[／/｜|@#]+"), _chinese_normal), lambda t: t != "")
     commas = lambda t: F.regexp_count(t, F.lit("[、，,]")) >= 2
     lists = F.transform(tags, lambda t: F.when(commas(t), F.transform(F.split(t, "[、，,]+"), _chinese_normal)).otherwise(F.array(t)))
-    return F.array_distinct(F.filter(F.flatten(lists), lambda t: (t != "") & chinese_token(t)))
+    return F.array_distinct(F.filter(F.flatten(lists), lambda t: t != ""))
+
+
+def chinese_words(c: Column) -> Column:
+    return F.filter(chinese_candidates(c), chinese_token)
+
+
+#: candidates of a text, and the test that each must pass
+EXTRACTORS = {"english": (english_candidates, english_token), "chinese": (chinese_candidates, chinese_token)}
+
 
+def word_records(docs: DataFrame, text: Column, language: str = "english", least: int = 1) -> DataFrame:
+    """word, doc_freq, term_freq; extractors give each word once for a document, so both are equal.
 
-def word_records(docs: DataFrame, text: Column, extractor: Callable[[Column], Column] = english_words, least: int = 1) -> DataFrame:
-    """word, doc_freq, term_freq; extractors give each word once for a document, so both are equal."""
-    flat = docs.select(F.explode(extractor(text)).alias("word")).groupBy("word").agg(F.count("*").alias("doc_freq"))
-    return frequencies.at_least(flat.withColumn("term_freq", F.col("doc_freq")), least)
+    Candidates are counted first, and the tests, which are many regular expressions, see each distinct one once.
+    """
+    candidates, test = EXTRACTORS[language]
+    flat = docs.select(F.explode(candidates(text)).alias("word")).groupBy("word").agg(F.count("*").alias("doc_freq"))
+    return frequencies.at_least(flat, least).where(test(F.col("word"))).withColumn("term_freq", F.col("doc_freq"))

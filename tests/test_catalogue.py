@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sparkloom import catalogue
+from sparkloom import catalogue_rules as catalogue
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
