@@ -111,3 +111,24 @@ def test_concat_singles(spark):
     df = spark.createDataFrame([(["a", "b", "cc", "d", "e"],)], "t array<string>")
     assert df.select(X.concat_singles(F.col("t")).alias("r")).first()["r"] == ["ab", "cc", "de"]
     assert df.select(X.concat_singles(F.col("t"), F.array(F.lit(1))).alias("r")).first()["r"] == ["a", "b", "cc", "de"]
+
+
+def test_rules_with_lookarounds(spark):
+    """Against Python's re, whose patterns mean the same here."""
+    import re
+
+    from sparkloom.catalogue_rules import SAMPLES
+
+    han = "\u3040-\u30FF\u4E00-\u9FFF"
+    rules = {
+        X.drop_char_repeats: lambda s: re.sub(f"([{X.ALNUM}{han}_.\\-])\\1{{4,}}", "", s),
+        X.drop_numbers: lambda s: re.sub(rf"{X.DIGIT_PREFIX}?\d+{X.UNIT}|(?:^|\b)\d+(?:\b|$)", "", s),
+        X.non_words_to_space: lambda s: re.sub(rf"[^{han}〇{X.ALNUM}_.\-{X.MASK}]+|\.+(?!\d)|[丨・]+", " ", s),
+    }
+    rows = spark.createDataFrame([(s,) for s in SAMPLES], "s string").select("s", *[f(F.col("s")).alias(f"r{i}") for i, f in enumerate(rules)]).collect()
+    for r in rows:
+        assert list(r[1:]) == [f(r["s"]) for f in rules.values()]
+    cleaned = lambda t: re.sub(rf"[^{han}〇{X.ALNUM}\-.%‰{X.MASK}]+|\.(?!\d)|-(?![a-zA-Z0-9])", "", t)
+    got = spark.createDataFrame([(s,) for s in SAMPLES], "s string").select("s", X.clean_tokens(X.tokens(F.col("s"))).alias("w")).collect()
+    for r in got:
+        assert r["w"] == [t.replace(X.MASK, " ") for t in map(cleaned, re.split(r"[ \t\n\x0b\f\r]+", r["s"])) if t.strip(" ")]
