@@ -16,6 +16,11 @@ large are spread over a grid of tasks. Pairs that meet are verified on the full
 a set is sent to few tasks; groups with too many pairs or too large sets are cut into cells. Components are found by alternating
 stars. Nothing grows on the driver. The links between n different near copies are n (n - 1) / 2, and all of them are counted.
 
+Such a crowd grows with the corpus, and each of its pairs would meet in hundreds of keys. So the largest crowds are looked for in a
+sample; sets near one of the sampled ones get the crowd's label. Pairs within a label aren't made from keys: the overlaps of all of
+them come from products of 0-1 matrices, cell by cell of a grid, which give the number of links and a forest that joins what they
+join. Pairs of which one isn't in the crowd, and crowds that the sample misses, go by keys; so labels only save work.
+
 Defined cases: null and empty texts, and those without words, have an empty set, n_similar 0 and themselves as component; one
 or two words are one shingle; equal texts are linked; repeated rows count each as a document; a null id stays null; ids that
 aren't whole numbers raise an error; words and texts have any length; an empty table gives an empty result; other columns aren't read, or passed on by keep_first().
@@ -45,6 +50,17 @@ NO_ID = -(1 << 63)
 GRID = 100_000
 #: classes that are broadcast at most with their ids
 BROADCAST_CLASSES = 500_000
+#: sets in the sample that is searched for crowds; how many of it with one signature are a crowd; signatures, sets of each and their size at most
+SAMPLE = 8192
+CROWD = 4
+SIGNATURES = 64
+OF_EACH = 8
+LEADER_SIZE = 4096
+#: sets, and their bytes, on a side of a cell of a crowd at most
+CELL = 4096
+CELL_BYTES = 16 << 20
+#: shingles that so many sets of a cell have are multiplied, the pairs of others are counted one by one
+HEAVY = 128
 
 
 class Bound:
@@ -129,11 +145,167 @@ def level_for(s: np.ndarray, band: int, bound: Bound) -> int:
     return lowest(failing(s, band, bound))
 
 
-def survey(docs: DataFrame, on: str, text: str, width: int, bound: Bound) -> DataFrame:
-    """One scan. Rows of kind 0: id, size and key of each set; 1: slices of the count sketch; 2: masks of the levels at which a set of the band fails."""
+class Crowds:
+    """Labels, from 1, of sets near one of the leaders; 0 for others. Leaders near each other share a label."""
+
+    def __init__(self, leaders: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in leaders], np.int64)
+        full, who = np.concatenate([np.zeros(0, U64), *leaders]), np.repeat(np.arange(len(leaders)), self.sizes)
+        order = np.argsort(full, kind="stable")
+        self.shingles, self.first = np.unique(full[order], return_index=True)
+        self.first = np.append(self.first, len(full))
+        self.who = who[order]
+        self.there = np.zeros(1 << 20, bool)
+        self.there[(self.shingles >> U64(44)).astype(np.int64)] = True
+        label = np.arange(len(leaders))
+        for i, x in enumerate(leaders):
+            hits = self._hits(x)
+            near = label[(100 * hits >= 20 * (len(x) + self.sizes - hits))]
+            label[np.isin(label, near)] = near.min() if len(near) else label[i]
+        self.labels = np.unique(label, return_inverse=True)[1] + 1
+
+    def _hits(self, s: np.ndarray) -> np.ndarray:
+        """How many shingles a set shares with each leader."""
+        at = np.searchsorted(self.shingles, s)
+        at[at == len(self.shingles)] = 0
+        at = at[self.shingles[at] == s]
+        n = self.first[at + 1] - self.first[at]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[at], n)
+        return np.bincount(self.who[place], minlength=len(self.sizes))
+
+    def __call__(self, sets: list[np.ndarray]) -> list[int]:
+        if not len(self.sizes) or not sets:
+            return [0] * len(sets)
+        sizes = np.array([len(s) for s in sets])
+        ends = np.cumsum(sizes)
+        hit = np.concatenate([[0], np.cumsum(self.there[(np.concatenate(sets) >> U64(44)).astype(np.int64)])])
+        out = np.zeros(len(sets), np.int64)
+        for i in np.flatnonzero((sizes > 0) & (4 * (hit[ends] - hit[ends - sizes]) >= sizes)).tolist():
+            hits = self._hits(sets[i])
+            share = hits / (sizes[i] + self.sizes - hits)
+            best = int(share.argmax())
+            if share[best] >= 0.35:
+                out[i] = self.labels[best]
+        return out.tolist()
+
+
+def crowds(docs: DataFrame, width: int, least: int) -> Crowds:
+    """Leaders from a bounded sample: sets of which at least `least` different ones have the same two smallest shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in K.pieces(batches, "_text"):
+            sets = [s for s in shingle_sets(*K.text_bytes(piece.column("_text")), width) if 2 <= len(s) <= LEADER_SIZE]
+            if sets:
+                pair = np.array([s[:2] for s in sets], U64)
+                raw = [s.tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(K.mix(pair[:, 0] + K.mix(pair[:, 1])).view(np.int64)), pa.array([hashlib.md5(x).digest() for x in raw]), pa.array(raw)], ["sig", "key", "set"])
+
+    part = SAMPLE / max(1, docs.count())
+    found = docs if part >= 1 else docs.where(F.rand(8) < part)
+    sets = found.select("_text").mapInArrow(run, "sig long, key binary, set binary").groupBy("sig", "key").agg(F.first("set").alias("set"))
+    some = sets.groupBy("sig", F.pmod(F.xxhash64("key"), F.lit(OF_EACH)).alias("i")).agg(F.count("*").alias("n"), F.min("set").alias("set"))
+    many = some.groupBy("sig").agg(F.sum("n").alias("n"), F.collect_list("set").alias("sets")).where(F.col("n") >= least)  # OF_EACH at most
+    rows = many.orderBy(F.desc("n"), "sig").limit(SIGNATURES).collect()
+    return Crowds([np.frombuffer(bytes(x), U64) for r in rows for x in r["sets"]])
+
+
+def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """The sizes of the intersections of the sets before `split` with those from it on; at 0, of all with all (but themselves)."""
+    n, full = len(sets), np.concatenate(sets)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
+    order = np.argsort(full, kind="stable")
+    full, row = full[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], full[1:] != full[:-1]]))
+    count = np.diff(np.append(first, len(full)))
+    column = np.repeat(np.arange(len(first)), count)
+    up, left = (split, n - split) if split else (n, n)
+    out = np.zeros((up, left), np.float32)
+    # pairs of sets that share a rarer shingle
+    at = np.flatnonzero((count < HEAVY)[column])
+    d = 1
+    while len(at):
+        at = at[at + d < len(full)]
+        at = at[column[at] == column[at + d]]
+        x, y = row[at].astype(np.int64), row[at + d].astype(np.int64)
+        if split:
+            fit = (x < split) & (y >= split)
+            x, y = x[fit], y[fit] - split
+        np.add.at(out.reshape(-1), x * left + y, np.float32(1))
+        d += 1
+    if not split:
+        out += out.T.copy()
+    heavy = np.flatnonzero(count >= HEAVY)
+    for i in range(0, len(heavy), 1024):
+        own = heavy[i : i + 1024]
+        m = np.zeros((n, len(own)), np.float32)
+        for k, c in enumerate(own.tolist()):
+            m[row[first[c] : first[c] + count[c]], k] = 1
+        out += m[:up] @ m[split:].T
+    return out
+
+
+def crowd_links(members: DataFrame, bound: Bound, cell: int = CELL, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """Over (_cid, _label, _size, _set): rows (a, b, n): n copies linked with a, or, where n is null, a and b in one component."""
+    sides = members.groupBy("_label").agg(F.ceil(F.greatest(F.count("*") / cell, F.sum(F.octet_length("_set")) / cell_bytes)).cast("int").alias("_side"))
+    placed = members.join(F.broadcast(sides), "_label")  # as many rows as labels
+    own = F.pmod(F.xxhash64("_cid"), F.col("_side")).cast("int")
+    placed = placed.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_side") - 1)))
+    placed = placed.select("_label", F.least("_own", "_other").alias("_row"), F.greatest("_own", "_other").alias("_column"), "_own", "_cid", "_size", "_set")
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        part, cid, copies = (table.column(c).to_numpy() for c in ("_own", "_cid", "_size"))
+        order = np.argsort(part, kind="stable")
+        raw = table.column("_set")
+        sets = [np.frombuffer(raw[i].as_py(), U64) for i in order.tolist()]
+        del table, raw
+        part, cid, copies = part[order], cid[order], copies[order]
+        split = int((part == part[0]).sum()) % len(part)
+        if not split and key[1] != key[2]:
+            return  # one side has no sets
+        size = np.array([len(s) for s in sets])
+        both = overlaps(sets, split)
+        del sets
+        n, up = len(part), len(both)
+        linked = np.zeros(both.shape, bool)
+        for i in range(0, up, 256):
+            shared = both[i : i + 256].astype(np.int64)
+            linked[i : i + 256] = 100 * shared >= bound.num * (size[i : min(up, i + 256), None] + size[None, split:] - shared)
+        del both
+        if not split:
+            np.fill_diagonal(linked, False)
+        near, label = np.zeros(n, np.int64), np.arange(n)
+        for i in range(0, up, 256):
+            block = linked[i : i + 256].astype(np.float64)
+            near[i : min(up, i + 256)] += (block @ copies[split:].astype(np.float64)).astype(np.int64)
+            if split:
+                near[split:] += (copies[i : min(up, i + 256)].astype(np.float64) @ block).astype(np.int64)
+        while True:
+            before = label.copy()
+            for i in range(0, up, 256):
+                block, rows = linked[i : i + 256], slice(i, min(up, i + 256))
+                label[rows] = np.minimum(label[rows], np.where(block, label[None, split:], n).min(1))
+                label[split:] = np.minimum(label[split:], np.where(block, label[rows, None], n).min(0))
+            label = label[label]
+            if (label == before).all():
+                break
+        child = np.flatnonzero(label != np.arange(n))
+        some = np.flatnonzero(near)
+        a, b = np.concatenate([cid[some], cid[child]]), np.concatenate([cid[some], cid[label[child]]])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([*near[some].tolist(), *[None] * len(child)], pa.int64())], ["a", "b", "n"])
+        K.trim()
+
+    return stored(placed.groupBy("_label", "_row", "_column").applyInArrow(run, "a long, b long, n long"), "crowds")
+
+
+def survey(docs: DataFrame, on: str, text: str, width: int, bound: Bound, crowd: int = CROWD) -> DataFrame:
+    """One scan. Rows of kind 0: id, size and key of each set, and if it is in a crowd its label and, for each key once in a while, the set; 1: slices of the count sketch; 2: masks of the levels at which a set of the band fails."""
+    found = docs.select(F.coalesce(whole_ids(docs, on), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(crowds(found, width, crowd))
+    columns, kinds = ["kind", "id", "n", "data", "label", "set"], (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, failed = np.zeros(1 << SKETCH_BITS, np.int64), {}
+        counts, failed, sent = np.zeros(1 << SKETCH_BITS, np.int64), {}, set()
         for piece in K.pieces(batches, "_text"):
             sets = shingle_sets(*K.text_bytes(piece.column("_text")), width)
             for s in sets:
@@ -143,19 +315,22 @@ def survey(docs: DataFrame, on: str, text: str, width: int, bound: Bound) -> Dat
             full = np.concatenate(sets) if sets else np.zeros(0, U64)
             counts += np.bincount((full >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
             n = piece.num_rows
+            keys, labels = [hashlib.md5(s.tobytes()).digest() for s in sets], shared.value(sets)
+            given = [s.tobytes() if label and key not in sent else None for s, key, label in zip(sets, keys, labels)]
+            sent = sent if len(sent) < 100_000 else set()
+            sent.update(key for key, label in zip(keys, labels) if label)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * n, pa.int32()), piece.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())],
-                ["kind", "id", "n", "data"],
+                [pa.array([0] * n, pa.int32()), piece.column("_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, t) for c, t in zip((keys, labels, given), kinds[3:]))],
+                columns,
             )
-        rows = [(2, b, mask, None) for b, mask in failed.items()]
+        rows = [(2, b, mask, None, 0, None) for b, mask in failed.items()]
         if failed:
             low = np.minimum(counts, (1 << 32) - 1).astype(np.uint32).reshape(SLICES, -1)  # of one task
-            rows += [(1, i, 0, x.tobytes()) for i, x in enumerate(low)]
+            rows += [(1, i, 0, x.tobytes(), 0, None) for i, x in enumerate(low)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["kind", "id", "n", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], columns)
 
-    found = docs.select(F.coalesce(whole_ids(docs, on), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_text"))
-    return stored(found.mapInArrow(run, "kind int, id long, n long, data binary"), "survey")
+    return stored(found.mapInArrow(run, "kind int, id long, n long, data binary, label int, set binary"), "survey")
 
 
 def rarity_of(surveyed: DataFrame) -> np.ndarray:
@@ -178,33 +353,33 @@ def rarity_of(surveyed: DataFrame) -> np.ndarray:
 
 
 def candidates(reps: DataFrame, width: int, bound: Bound, levels: dict[int, int], rarity: np.ndarray, buckets: int, grid: int) -> DataFrame:
-    """Pairs (a, b), a < b, of classes that share enough keys; reps: (_cid, _key, _text)."""
+    """Pairs (a, b), a < b, of classes that share enough keys, but for those of one label; reps: (_cid, _key, _label, _text)."""
     spark = reps.sparkSession
     shared = spark.sparkContext.broadcast((levels, rarity))
 
-    def emit(sigs: list, cids: list, sizes: list) -> Iterator[pa.RecordBatch]:
-        sig, cid, n = np.concatenate(sigs), np.concatenate(cids), np.concatenate(sizes)
+    def emit(sigs: list, cids: list, sizes: list, marks: list) -> Iterator[pa.RecordBatch]:
+        sig, cid, n, label = (np.concatenate(x) for x in (sigs, cids, sizes, marks))
         bucket = (sig >> U64(32)).astype(np.int64) % buckets
         order = np.argsort(bucket, kind="stable")
-        sig, cid, n, bucket = sig[order], cid[order], n[order], bucket[order]
+        sig, cid, n, label, bucket = sig[order], cid[order], n[order], label[order], bucket[order]
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         rows: list[tuple] = []
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(sig)]):
             step = np.diff(cid[a:b], prepend=cid[a])
             small = step.astype(np.int32) if len(step) and np.abs(step).max() < 1 << 31 else step
-            rows.append((int(bucket[a]), int(cid[a]), b - a, sig[a:b].tobytes(), small.tobytes(), n[a:b].tobytes()))
+            rows.append((int(bucket[a]), int(cid[a]), b - a, sig[a:b].tobytes(), small.tobytes(), n[a:b].tobytes(), label[a:b].tobytes() if label[a:b].any() else b""))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-            ["bucket", "base", "count", "sig", "step", "n"],
+            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))],
+            ["bucket", "base", "count", "sig", "step", "n", "label"],
         )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, rarity = shared.value
-        sigs, cids, sizes, held = [], [], [], 0
+        sigs, cids, sizes, marks, held = [], [], [], [], 0
         for piece in K.pieces(batches, "_text"):
             sets = shingle_sets(*K.text_bytes(piece.column("_text")), width)
             keys = piece.column("_key").to_pylist()
-            for s, key, cid in zip(sets, keys, piece.column("_cid").to_pylist()):
+            for s, key, cid, label in zip(sets, keys, piece.column("_cid").to_pylist(), piece.column("_label").to_pylist()):
                 if not len(s) or hashlib.md5(s.tobytes()).digest() != key:
                     continue  # another text of the same id
                 for band in bands(len(s), bound):
@@ -221,21 +396,23 @@ def candidates(reps: DataFrame, width: int, bound: Bound, levels: dict[int, int]
                     sigs.append(token)
                     cids.append(np.full(len(token), cid, np.int64))
                     sizes.append(np.full(len(token), min(len(s), 65535), np.uint16))
+                    marks.append(np.full(len(token), label, np.uint16))
                     held += len(token)
             if held > 500_000:
-                yield from emit(sigs, cids, sizes)
-                sigs, cids, sizes, held = [], [], [], 0
+                yield from emit(sigs, cids, sizes, marks)
+                sigs, cids, sizes, marks, held = [], [], [], [], 0
         if held:
-            yield from emit(sigs, cids, sizes)
+            yield from emit(sigs, cids, sizes, marks)
         K.trim()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, cids, sizes = [], [], []
+        sigs, cids, sizes, marks = [], [], [], []
         for batch in batches:
-            for base, count, sig, step, n in zip(*(batch.column(c).to_pylist() for c in ("base", "count", "sig", "step", "n"))):
+            for base, count, sig, step, n, label in zip(*(batch.column(c).to_pylist() for c in ("base", "count", "sig", "step", "n", "label"))):
                 sigs.append(np.frombuffer(sig, U64))
                 cids.append(base + np.cumsum(np.frombuffer(step, np.int32 if len(step) == 4 * count else np.int64).astype(np.int64)))
                 sizes.append(np.frombuffer(n, np.uint16))
+                marks.append(np.frombuffer(label, np.uint16) if label else np.zeros(count, np.uint16))
         sig = np.concatenate(sigs)
         del sigs
         order = np.argsort(sig)
@@ -245,8 +422,20 @@ def candidates(reps: DataFrame, width: int, bound: Bound, levels: dict[int, int]
         inside[1:] |= same
         inside[:-1] |= same
         sig, order = sig[inside], order[inside]
+        label = np.concatenate(marks)[order]
+        if label.any():
+            again = np.lexsort((label, sig))
+            sig, order, label = sig[again], order[again], label[again]
+            del again
         cid, n = np.concatenate(cids)[order], np.concatenate(sizes)[order].astype(np.int32)
-        del cids, sizes, order, same, inside
+        del cids, sizes, marks, order, same, inside
+        # members of a key come by label, those of one label aren't paired: a member's partners go from the next label to the end of the key
+        new = np.ones(len(sig), bool)
+        new[1:] = sig[1:] != sig[:-1]
+        stop = np.append(np.flatnonzero(new), len(sig))[np.cumsum(new)]
+        new[1:] |= (label[1:] != label[:-1]) | (label[1:] == 0)
+        start = np.append(np.flatnonzero(new), len(sig))[np.cumsum(new)]
+        del new, label
         names, cid = np.unique(cid, return_inverse=True)
         held: list[np.ndarray] = []
         size = 0
@@ -260,13 +449,13 @@ def candidates(reps: DataFrame, width: int, bound: Bound, levels: dict[int, int]
         least = np.zeros(len(names), np.int64)
         least[cid] = n
         at = np.arange(len(sig))
-        d = 1
+        d = 0
         while len(at):
-            at = at[at + d < len(sig)]
-            at = at[sig[at] == sig[at + d]]  # the last of a run drops out for good
+            at = at[start[at] + d < stop[at]]  # one that has met all drops out for good
             if not len(at):
                 break
-            x, y, u, v = cid[at], cid[at + d], n[at], n[at + d]
+            other = start[at] + d
+            x, y, u, v = cid[at], cid[other], n[at], n[other]
             fit = (x != y) & ((np.minimum(u, v) * 100 >= np.maximum(u, v) * bound.num) | (np.maximum(u, v) == 65535))
             x, y = x[fit], y[fit]
             held.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
@@ -276,10 +465,10 @@ def candidates(reps: DataFrame, width: int, bound: Bound, levels: dict[int, int]
                 held, size = [], 0
             d += 1
         yield from out()
-        del sig, cid, n, at, held
+        del sig, cid, n, at, held, start, stop
         K.trim()
 
-    signed = reps.mapInArrow(sign, "bucket int, base long, count long, sig binary, step binary, n binary")
+    signed = reps.mapInArrow(sign, "bucket int, base long, count long, sig binary, step binary, n binary, label binary")
     found = signed.groupBy("bucket").applyInArrow(meet, "a long, b long, met int, least int")
     enough = found.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least")
     return stored(enough.select("a", "b"), "candidates")
@@ -392,25 +581,30 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("_cid"), F.col("v").alias("_root"))
 
 
-def _facts(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_id", text: str = "text", grid: int = GRID, bucket_keys: int = 3_000_000, small_classes: int = BROADCAST_CLASSES, **limits) -> tuple[DataFrame, DataFrame]:
+def _facts(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_id", text: str = "text", grid: int = GRID, bucket_keys: int = 3_000_000, small_classes: int = BROADCAST_CLASSES, crowd: int = CROWD, cell: int = CELL, **limits) -> tuple[DataFrame, DataFrame]:
     """Id, size and key of each row, and for each class: key, n_similar, component, rows, and its least id if it is its component's first."""
     bound = Bound(percent)
-    surveyed = survey(docs, on, text, width, bound)
-    own = surveyed.where("kind = 0").select(F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("data").alias("_key"))
-    grouped = own.where("_n > 0").groupBy("_key").agg(F.min("_id").alias("_rep"), F.max("_n").alias("_n"), F.count("*").alias("_size"))
+    surveyed = survey(docs, on, text, width, bound, crowd)
+    own = surveyed.where("kind = 0").select(F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("data").alias("_key"), F.col("label").alias("_label"))
+    grouped = own.where("_n > 0").groupBy("_key").agg(F.min("_id").alias("_rep"), F.max("_n").alias("_n"), F.count("*").alias("_size"), F.max("_label").alias("_label"))
+    own = own.drop("_label")
     classes, total = running(grouped, [F.col("_rep"), F.col("_key")], {"_cid": F.lit(1), "_before": F.col("_n")}, "classes")
     classes = stored(classes.drop("_before"), "classes")
     levels = {r[0]: lowest(r[1]) for r in surveyed.where("kind = 2").groupBy("id").agg(F.bit_or("n")).collect()}  # a row for each band
     flat = docs.select(F.coalesce(whole_ids(docs, on), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_text"))
-    keyed = classes.select("_cid", "_rep", "_key")
-    reps = flat.join(F.broadcast(keyed) if total["_cid"] <= small_classes else keyed, F.col("_id") == F.col("_rep")).select("_cid", "_key", "_text")
+    keyed = classes.select("_cid", "_rep", "_key", "_label")
+    reps = flat.join(F.broadcast(keyed) if total["_cid"] <= small_classes else keyed, F.col("_id") == F.col("_rep")).select("_cid", "_key", "_label", "_text")
     buckets = max(1, -(-total["_before"] // (2 * bucket_keys)))  # about half as many keys as shingles
     pairs = candidates(reps, width, bound, levels, rarity_of(surveyed), buckets, grid)
     links = verify(pairs, flat, classes, width, bound, small_classes=small_classes, **limits)
+    sets = surveyed.where("kind = 0 and label > 0").groupBy(F.col("data").alias("_key")).agg(F.first("set", ignorenulls=True).alias("_set"))
+    crowded = crowd_links(classes.where("_label > 0").select("_key", "_cid", "_label", "_size").join(sets, "_key"), bound, cell)
     both = links.select(F.col("a").alias("_cid"), F.col("b").alias("_other")).unionByName(links.select(F.col("b").alias("_cid"), F.col("a").alias("_other")))
     sizes = classes.select(F.col("_cid").alias("_other"), F.col("_size").alias("_others"))
-    near = both.join(sizes, "_other").groupBy("_cid").agg(F.sum("_others").alias("_near"))
-    roots = components(links).join(classes.select(F.col("_cid").alias("_root"), F.col("_rep").alias("_first")), "_root").select("_cid", "_first")
+    counted = both.join(sizes, "_other").select("_cid", "_others").unionByName(crowded.where("n is not null").select(F.col("a").alias("_cid"), F.col("n").alias("_others")))
+    near = counted.groupBy("_cid").agg(F.sum("_others").alias("_near"))
+    joined = links.unionByName(crowded.where("n is null").select("a", "b"))
+    roots = components(joined).join(classes.select(F.col("_cid").alias("_root"), F.col("_rep").alias("_first")), "_root").select("_cid", "_first")
     facts = classes.join(near, "_cid", "left").join(roots, "_cid", "left")
     facts = stored(facts.select("_key", (F.coalesce("_near", F.lit(0)) + F.col("_size") - 1).alias("_near"), F.coalesce("_first", "_rep").alias("_first"), F.col("_size"), F.when(F.col("_first").isNull(), F.col("_rep")).alias("_kept")), "facts")
     return own, facts

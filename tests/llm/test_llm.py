@@ -495,6 +495,21 @@ def test_similar_in_cells(spark, limits):
     assert rows(ngram_join.similar(frame(spark, data), **limits)) == sorted(ngram_join.brute_force(data), key=repr)
 
 
+def test_crowds_of_near_copies_are_linked_without_their_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    base, data = [str(rng.randrange(10**6)) for _ in range(60)], []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(7)):
+            words[rng.randrange(60)] = str(rng.randrange(10**6))
+        data.append((i, " ".join(words)))
+    data += [(100 + i, data[i][1]) for i in range(0, 20, 3)] + [(200, None), (201, "a b c d"), (202, "a b c d")]
+    seen, made = [], ngram_join.candidates
+    monkeypatch.setattr(ngram_join, "candidates", lambda *a: seen.append(made(*a)) or seen[-1])
+    assert rows(ngram_join.similar(frame(spark, data))) == sorted(ngram_join.brute_force(data), key=repr)
+    assert seen[0].count() < 60  # of over 900 links
+
+
 def test_pigeonhole():
     bound = ngram_join.Bound(70)
     r = np.random.default_rng(0)
