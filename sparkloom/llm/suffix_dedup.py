@@ -13,7 +13,7 @@ equal anchors, so
    named, names that recur are ranked by recursion on the string of names, the suffixes at positions 0 modulo 3 are sorted by
    their first byte and the rank that follows, and both orders are merged. As only prefixes of 100 bytes are asked for, the
    recursion ends once names stand for that many. Prefixes of neighbours are compared byte by byte, and of each set of equal
-   ones all but the earliest are marked;
+   ones all but the earliest are marked. Windows whose hash occurs once in the bucket have no equal, so they aren't sorted;
 4. marks return to their documents as intervals.
 
 An anchor that occurs more than `hot` times would make a bucket of unbounded size; its windows are sent one by one, each by a
@@ -135,16 +135,35 @@ def suffix_ranks(s: np.ndarray, reach: int) -> np.ndarray:
 
 
 def repeated(text: np.ndarray, valid: np.ndarray, size: int) -> np.ndarray:
-    """Which of the valid starts (in order of priority) begin a `size`-byte string that an earlier valid start begins too."""
+    """Which of the valid starts (ascending, in order of priority) begin a `size`-byte string that an earlier valid start begins too.
+
+    Equal strings have equal hashes, so only strings whose hash occurs twice are sorted, with the bytes that they cover.
+    """
     out = np.zeros(len(valid), bool)
     if not len(valid):
         return out
+    h = K.Hasher(text)(valid, valid + size)
+    order = np.argsort(h)
+    twice = h[order][1:] == h[order][:-1]
+    likely = np.zeros(len(valid), bool)
+    likely[order[1:][twice]] = likely[order[:-1][twice]] = True
+    likely = np.flatnonzero(likely)
+    if len(likely):
+        edge = np.zeros(len(text) + 1, np.int32)
+        np.add.at(edge, valid[likely], 1)
+        np.add.at(edge, valid[likely] + size, -1)
+        covered = np.cumsum(edge[:-1]) > 0  # a string's bytes stay together
+        at = (np.cumsum(covered) - 1)[valid[likely]]
+        out[likely] = sorted_out(text[covered], at, h[likely], size)
+    return out
+
+
+def sorted_out(text: np.ndarray, valid: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
+    """repeated(), by the suffix order of the whole text; h: hashes of the strings."""
+    out = np.zeros(len(valid), bool)
     order = np.argsort(suffix_ranks(text.astype(np.int64) + 1, size)[valid])
     at = valid[order]
-    same = np.ones(len(at) - 1, bool)
-    hasher = K.Hasher(text)
-    h = hasher(at, at + size)
-    same &= h[1:] == h[:-1]
+    same = h[order][1:] == h[order][:-1]
     word = np.ndarray(len(text) - 7, "<u8", text.tobytes(), strides=(1,)) if len(text) >= 8 else None
     left = np.flatnonzero(same)
     for k in [*range(0, size - 8, 8), size - 8] if size >= 8 else []:
@@ -472,30 +491,34 @@ def dedup(
     keyed = classes.withColumnRenamed("_key", "_own")
     texts = flat.join(F.broadcast(keyed) if small else keyed, F.col("_id") == F.col("_rep")).where(key == F.col("_own"))
     # a text that one id has on several rows takes part once
-    once = texts.where("_m = 1").select("_cid", "_text")
+    own = ["_cid", "_rep", "_own", "_text"]
+    once = texts.where("_m = 1").select(own)
     if classes.where("_m > 1").limit(1).count():
-        once = once.unionByName(stored(texts.where("_m > 1").select("_cid", "_text").dropDuplicates(["_cid"]), "again"))
+        once = once.unionByName(stored(texts.where("_m > 1").select(own).dropDuplicates(["_cid"]), "again"))
     texts = once
     if map_bits_for(totals["_at"]) <= map_bits:
-        bitmap, bits, n_runs, hot_ones = marked(texts, totals["_at"], size, gram, hot, count_bytes)
+        bitmap, bits, n_runs, hot_ones = marked(texts.select("_text"), totals["_at"], size, gram, hot, count_bytes)
         sources, known = texts, (bitmap, bits, hot_ones)
     else:
         runs, n_runs = located(texts, size, gram, hot)
         sources, known = texts.join(runs, "_cid"), None
     buckets = max(1, -(-n_runs * (size + gram) // bucket_bytes))
-    found = intervals(sources, known, buckets, size, gram)
-    lists = found.groupBy("_cid").agg(F.collect_list(F.struct("start", "n")).alias("_found"))  # of one text each
+    found = intervals(sources.select("_cid", "_text", *([] if known else ["_runs"])), known, buckets, size, gram)
+    starts, counts = F.collect_list("start").alias("_starts"), F.collect_list("n").alias("_counts")  # in one order, as both skip nothing
+    lists = found.groupBy("_cid").agg(starts, counts)  # of one text each
+    # by id and key, as the texts of many classes are already shuffled that way
+    lists = lists.join(classes.select("_cid", "_rep", F.col("_key").alias("_own")), "_cid").drop("_cid")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in K.pieces(batches, "_text"):
             out = []
-            for cid, raw, found in zip(*(piece.column(c).to_pylist() for c in ("_cid", "_text", "_found"))):
-                found = found or []
-                out.append((cid, *cut_out(raw, [x["start"] for x in found], [x["n"] for x in found], size)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["_cid", "_removed", "_spans", "_kept"])
+            for raw, starts, counts in zip(*(piece.column(c).to_pylist() for c in ("_text", "_starts", "_counts"))):
+                out.append(cut_out(raw, starts or [], counts or [], size))
+            made = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([piece.column("_own"), piece.column("_rep"), *made], ["_key", "_id", "_removed", "_spans", "_kept"])
 
-    done = texts.join(lists, "_cid", "left").mapInArrow(finish, "_cid long, _removed long, _spans long, _kept string")
-    done = done.join(classes, "_cid").select("_key", F.col("_rep").alias("_id"), "_removed", "_spans", "_kept")
+    done = texts.join(lists, ["_rep", "_own"], "left").select("_own", "_rep", "_text", "_starts", "_counts")
+    done = done.mapInArrow(finish, "_key binary, _id long, _removed long, _spans long, _kept string")
     all_ = rows.join(done, ["_key", "_id"], "left")
     first, short = F.col("_kept").isNotNull(), F.col("_n") < size
     # the first row of a class keeps what its windows leave, others of at least `size` bytes nothing, shorter ones all

@@ -560,6 +560,30 @@ def test_dedup_repeated_rows(spark, options):
         assert rows(suffix_dedup.dedup(frame(spark, data), **options)) == sorted(suffix_dedup.brute_force(data), key=repr)
 
 
+def test_only_likely_repeats_are_sorted(monkeypatch):
+    raw = np.random.default_rng(7).integers(0, 256, 50_000).astype(np.uint8)
+    raw[40_000:40_150] = raw[10_000:10_150]
+    raw[30_000:30_400] = 97  # overlapping repeats of a run
+    valid = np.flatnonzero(np.arange(len(raw) - 99) % 10_000 < 9_000)
+    sizes, whole = [], suffix_dedup.suffix_ranks
+    monkeypatch.setattr(suffix_dedup, "suffix_ranks", lambda s, reach: sizes.append(len(s)) or whole(s, reach))
+    got = suffix_dedup.repeated(raw, valid, 100)
+    assert max(sizes) == 150 + 150 + 400
+    seen, data = set(), raw.tobytes()
+    assert got.tolist() == [data[k : k + 100] in seen or seen.add(data[k : k + 100]) is not None for k in valid.tolist()]
+
+
+def test_dedup_shuffles_texts_of_many_classes_once(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = suffix_dedup.dedup(frame(spark, corpus(60)), small_classes=0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # texts come to the last step as the join with their classes has placed them
+    assert "Exchange" not in plan[plan.index("MapInArrow finish") : plan.index("SortMergeJoin [unhex(sha2(")]
+
+
 def test_copies_are_compared_by_bytes():
     raw = np.frombuffer(b"abcabdabc", np.uint8)
     begin, length = np.array([0, 3, 6]), np.array([3, 3, 3])
