@@ -38,10 +38,15 @@ U64 = np.uint64
 MAGIC = b"SLTOKEN1"
 HEADER = 16
 #: words that a worker keeps at most, about 200 bytes each, and letters of words likewise; of these there are fewer new ones
-WORDS = 300_000
+WORDS = 500_000
 CORES = 800_000
-#: Latin-1 letters, then signs that no contraction begins with
-_CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|()]*)")
+#: lower-case Latin-1 letters, and signs that no contraction begins with
+_CORE = re.compile("[a-zß-öø-ÿ]+")
+SIGNS = ".,;:!?*$%&#|()"
+#: bytes of text whose words are looked up together
+PIECE = 1 << 22
+#: cores that are encoded as one text, with a sign between them
+JOINED = 500
 INDEX_KEYS = 200_000
 #: rows of one id that are numbered at a time
 CHUNK = 10_000
@@ -54,7 +59,8 @@ class Encoder:
     """Encodes whole texts to bytes of ids.
 
     Two tables: words as they stand, and cores. A word of Latin-1 letters with ASCII signs behind is its lower-case letters and its
-    signs, where the tokenizer lower-cases and cuts between letters and signs; so most new words are made of known cores.
+    signs, where the tokenizer lower-cases and cuts between letters and signs; so most new words are made of known cores. New cores
+    are encoded many at a time, as one text.
     """
 
     def __init__(self, path: str, end: int):
@@ -65,7 +71,8 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(with_added_tokens=True), end + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end], self.dtype).tobytes()
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.cores: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
         probe = " Probe,  it's 1\t23 café-s\n\n<|end|> ß! 你好 x́ .. "
         self.by_word = self._ids([probe])[0] == b"".join(self._ids([w.decode() for w in probe.encode().split()]))
         cases = ["Ab", "ÉÀçß", "Öñ", "The", "s", "É", "Ç"]
@@ -75,21 +82,47 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, cores: list[str]) -> list[bytes]:
+        """_ids() of cores, many at once: the tokenizer cuts at the signs between them, whose id no letters have."""
+        out: list[bytes] = []
+        sign, width = self._ids(["."])[0], self.dtype.itemsize
+        cut_at = np.frombuffer(sign, self.dtype)
+        for i in range(0, len(cores), JOINED):
+            some = cores[i : i + JOINED]
+            raw = self._ids([".".join(some)])[0]
+            cuts = (np.flatnonzero(np.frombuffer(raw, self.dtype) == cut_at[0]) * width).tolist() if len(cut_at) == 1 else []
+            if len(cuts) == len(some) - 1:
+                out += [raw[a:b] for a, b in zip([0, *(c + width for c in cuts)], [*cuts, len(raw)])]
+            else:
+                out += self._ids(some)
+        return out
+
     def _new(self, words: list[str]) -> list[bytes]:
         if not self.by_core:
             return self._ids(words)
-        split = [(m.group(1).lower(), m.group(2)) if (m := _CORE.fullmatch(w)) else (w, None) for w in words]
-        wanted = {c for c, tail in split if tail is not None} | {t for _, t in split if t}
-        new = list(wanted.difference(self.cores))
+        heads = [w.rstrip(SIGNS) for w in words]
+        # the few other letters whose lower case is a core's are the same letters to the tokenizer too
+        cores = "\n".join(heads).lower().split("\n")
+        every = set(cores)
+        new = every.difference(self.cores)
         if len(self.cores) + len(new) > CORES:
             self.cores.clear()
-            new = list(wanted)
-        self.cores.update(zip(new, self._ids(new)))
-        self.cores[""] = b""
-        other = [w for w, tail in split if tail is None]
-        others = dict(zip(other, self._ids(other)))
-        get = self.cores.__getitem__
-        return [get(c) + get(t) if t is not None else others[c] for c, t in split]
+            new = every
+        letters = [c for c in new if _CORE.fullmatch(c)]
+        self.cores.update(dict.fromkeys(new))  # null: no core
+        self.cores.update(zip(letters, self._letters(letters)))
+        tails = [w[len(h) :] for w, h in zip(words, heads)]
+        signs = list(set(tails).difference(self.tails))
+        if len(self.tails) + len(signs) > CORES // 8:
+            self.tails.clear()
+            signs = list(set(tails))
+        self.tails.update(zip(signs, self._ids(signs)))
+        ids, tail = list(map(self.cores.__getitem__, cores)), self.tails.__getitem__
+        other = [i for i, x in enumerate(ids) if x is None]
+        out = [x + tail(t) if t and x is not None else x for x, t in zip(ids, tails)]
+        for i, x in zip(other, self._ids([words[i] for i in other])):
+            out[i] = x
+        return out
 
     def __call__(self, raw: bytes, offsets: np.ndarray) -> list[bytes]:
         texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
@@ -101,7 +134,8 @@ class Encoder:
         if len(self.words) + len(new) > WORDS:
             self.words.clear()
             new = list(every)
-        self.words.update(zip(new, self._new([w.decode() for w in new])))
+        if new:
+            self.words.update(zip(new, self._new(b"\n".join(new).decode().split("\n"))))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) + self.end for words in split]
 
@@ -228,7 +262,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, on: str = "d
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"  # each attempt has its own; only that of the one that counts is indexed
         out, offset, last, row = None, 0, (), 0
         try:
-            for piece in K.pieces(batches, "_text"):
+            for piece in K.pieces(batches, "_text", PIECE):
                 if out is None:
                     out = fs.open_output_stream(f"{base}/{name}")
                     out.write(MAGIC + np.array([encode.dtype.itemsize, 0], "<u4").tobytes())

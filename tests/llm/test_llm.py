@@ -149,6 +149,24 @@ def test_token_store(spark):
     assert rows(got) == sorted(token_store.brute_force(data, path), key=repr)
 
 
+def test_encoder_joins_cores_and_keeps_words(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "WORDS", 2_000)
+    path, rng = queries.tokenizer_path(), random.Random(5)
+    words = ["".join(rng.choices("abcdeéÀñstz", k=rng.randint(1, 9))) + rng.choice(["", "", ",", ".", "?!", "...", ")"]) for _ in range(5_000)]
+    words += ["K", "İx", "don't", "x.y", ".", "..a", "#", "ſs", "Ａb", "e\u0301", "3a", "<|endoftext|>", "a<|endoftext|>b", "straße", "\u212bb"]
+    texts = [" ".join(words[i : i + 900]) for i in range(0, len(words), 900)]
+    encode, whole, asked = token_store.Encoder(path, 2), Tokenizer.from_file(path), []
+    ids = encode._ids
+    encode._ids = lambda x: asked.extend(x) or ids(x)
+    for again in range(2):
+        for text in texts:
+            raw = text.encode()
+            assert encode(raw, np.array([0, len(raw)])) == [np.array([*whole.encode(text, add_special_tokens=False).ids, 2], "<u2").tobytes()]
+        assert encode.by_core and len(asked) < 200
+
+
 def test_token_store_repeated_and_missing(spark, tmp_path):
     path, out = queries.tokenizer_path(), f"file://{tmp_path}"
     df = frame(spark, [(0, "z"), (1, "a b"), (1, "a b"), (1, "c"), (None, "n"), (None, "n")], False)
