@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,9 @@ CELL = 4096
 CELL_BYTES = 16 << 20
 #: shingles that so many sets of a cell have are multiplied, the pairs of others are counted one by one
 HEAVY = 128
+#: keys of a bucket that are sorted at once (a key's members stay together), and meetings of pairs that are held before they are added up
+SLICE_KEYS = 1 << 18
+HELD = 500_000
 
 
 class Bound:
@@ -84,6 +87,14 @@ class Bound:
     def keys(self, n):
         return self.differ(n) + self.meet(n)
 
+    def all_keys(self, n: Column) -> Column:
+        """keys() for each of a set's bands, as a column."""
+        partner = F.floor(n * 100 / self.num)
+        each = F.floor((100 - self.num) * (n + partner) / (100 + self.num)) + 1 + F.floor(n / 16)
+        bits = F.when(n > 1, F.length(F.bin(n - 1))).otherwise(0)
+        top = F.pow(F.lit(4), F.greatest(F.lit(0), F.floor((bits + 1) / 2) - 1) + 1)
+        return each * F.when(partner > top, 2).otherwise(1)
+
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """The sorted hashes of each text's distinct shingles."""
@@ -352,6 +363,102 @@ def rarity_of(surveyed: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def meetings(batches: Iterator[pa.RecordBatch], bound: Bound, slice_keys: int = SLICE_KEYS, most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes that share keys of one bucket, with how many (a pair may come in several rows) and how many it needs.
+
+    Of a key its lower 32 bits are there: two that are equal in them are taken for one, which only adds pairs. The bucket stays in
+    the buffers it came in and is sorted slice by slice, so a task's memory is that of the bucket and of a slice.
+    """
+    rows, low, high, total = [], 1 << 63, -(1 << 63), 0
+    for batch in batches:
+        columns = [K.text_bytes(batch.column(c)) for c in ("sig", "step", "n", "label")]
+        for i, (base, count) in enumerate(zip(batch.column("base").to_pylist(), batch.column("count").to_pylist())):
+            sig, step, n, label = (raw[at[i] : at[i + 1]] for raw, at in columns)
+            row = base, sig.view(np.uint32), step.view(np.int32 if len(step) == 4 * count else np.int64), n.view(np.uint16), label.view(np.uint16)
+            rows.append(row)
+            cid = _cids(row)
+            low, high, total = min(low, int(cid.min())), max(high, int(cid.max())), total + count
+    # a pair is one number: by the distance from the least class or, should classes be too far apart for that, by their ranks
+    names = np.unique(np.concatenate([np.unique(_cids(r)) for r in rows])) if high - low >= 3_000_000_000 else None
+    span = high - low + 1 if names is None else len(names)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint16)
+    pairs, held, size = none, [], 0
+
+    def added() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        code = np.concatenate([pairs[0], *(h[0] for h in held)])
+        order = np.argsort(code)
+        code = code[order]
+        cut = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        met = np.concatenate([pairs[1], np.ones(size, np.int32)])[order]
+        return code[cut], np.add.reduceat(met, cut, dtype=np.int32), np.concatenate([pairs[2], *(h[1] for h in held)])[order][cut]
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(pairs[0]), most):
+            code, met, least = (x[i : i + most] for x in pairs)
+            a, b = np.divmod(code, span)
+            a, b = (a + low, b + low) if names is None else (names[a], names[b])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(met), pa.array(bound.meet(least.astype(np.int32)), pa.int32())], ["a", "b", "met", "least"])
+
+    slices = -(-total // slice_keys)
+    for i in range(slices):
+        sig, cid, n, label = _slice(rows, (i << 32) // slices, ((i + 1 << 32) // slices) - 1)
+        # members of a key come by label, those of one label aren't paired: a member's partners go from the next label to the end of the key
+        new = np.ones(len(sig), bool)
+        new[1:] = sig[1:] != sig[:-1]
+        stop = np.append(np.flatnonzero(new), len(sig))[np.cumsum(new)]
+        new[1:] |= (label[1:] != label[:-1]) | (label[1:] == 0)
+        start = np.append(np.flatnonzero(new), len(sig))[np.cumsum(new)]
+        cid = cid - low if names is None else np.searchsorted(names, cid)
+        at = np.arange(len(sig))
+        d = 0
+        while len(at):
+            at = at[start[at] + d < stop[at]]  # one that has met all drops out for good
+            if not len(at):
+                break
+            other = start[at] + d
+            x, y, u, v = cid[at], cid[other], n[at].astype(np.int32), n[other].astype(np.int32)
+            less, more = np.minimum(u, v), np.maximum(u, v)
+            fit = (x != y) & ((less * 100 >= more * bound.num) | (more == 65535))
+            x, y = x[fit], y[fit]
+            held.append((np.minimum(x, y) * span + np.maximum(x, y), less[fit].astype(np.uint16)))
+            size += len(x)
+            if size > most:
+                pairs, held, size = added(), [], 0
+                if len(pairs[0]) > most:
+                    yield from out()
+                    pairs = none
+            d += 1
+    if size:
+        pairs, held, size = added(), [], 0
+    yield from out()
+
+
+def _cids(row: tuple) -> np.ndarray:
+    return row[0] + np.cumsum(row[2], dtype=np.int64)
+
+
+def _slice(rows: list[tuple], least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, class, size and label of the members of a bucket's keys from `least` to `most` that have several, by key and label."""
+    least, most, parts = np.uint32(least), np.uint32(most), []
+    for row in rows:
+        _, sig, _, n, label = row
+        at = np.flatnonzero((sig >= least) & (sig <= most))
+        parts.append((sig[at], _cids(row)[at], n[at], label[at] if len(label) else np.zeros(len(at), np.uint16)))
+    sig, cid, n, label = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(sig)
+    sig = sig[order]
+    same = sig[1:] == sig[:-1]
+    inside = np.zeros(len(sig), bool)
+    inside[1:] |= same
+    inside[:-1] |= same
+    sig, order = sig[inside], order[inside]
+    label = label[order]
+    if label.any():
+        again = np.lexsort((label, sig))
+        sig, order, label = sig[again], order[again], label[again]
+    return sig, cid[order], n[order], label
+
+
 def candidates(reps: DataFrame, width: int, bound: Bound, levels: dict[int, int], rarity: np.ndarray, buckets: int, grid: int) -> DataFrame:
     """Pairs (a, b), a < b, of classes that share enough keys, but for those of one label; reps: (_cid, _key, _label, _text)."""
     spark = reps.sparkSession
@@ -367,7 +474,7 @@ def candidates(reps: DataFrame, width: int, bound: Bound, levels: dict[int, int]
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(sig)]):
             step = np.diff(cid[a:b], prepend=cid[a])
             small = step.astype(np.int32) if len(step) and np.abs(step).max() < 1 << 31 else step
-            rows.append((int(bucket[a]), int(cid[a]), b - a, sig[a:b].tobytes(), small.tobytes(), n[a:b].tobytes(), label[a:b].tobytes() if label[a:b].any() else b""))
+            rows.append((int(bucket[a]), int(cid[a]), b - a, sig[a:b].astype(np.uint32).tobytes(), small.tobytes(), n[a:b].tobytes(), label[a:b].tobytes() if label[a:b].any() else b""))
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))],
             ["bucket", "base", "count", "sig", "step", "n", "label"],
@@ -406,66 +513,7 @@ def candidates(reps: DataFrame, width: int, bound: Bound, levels: dict[int, int]
         K.trim()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, cids, sizes, marks = [], [], [], []
-        for batch in batches:
-            for base, count, sig, step, n, label in zip(*(batch.column(c).to_pylist() for c in ("base", "count", "sig", "step", "n", "label"))):
-                sigs.append(np.frombuffer(sig, U64))
-                cids.append(base + np.cumsum(np.frombuffer(step, np.int32 if len(step) == 4 * count else np.int64).astype(np.int64)))
-                sizes.append(np.frombuffer(n, np.uint16))
-                marks.append(np.frombuffer(label, np.uint16) if label else np.zeros(count, np.uint16))
-        sig = np.concatenate(sigs)
-        del sigs
-        order = np.argsort(sig)
-        sig = sig[order]
-        same = sig[1:] == sig[:-1]
-        inside = np.zeros(len(sig), bool)
-        inside[1:] |= same
-        inside[:-1] |= same
-        sig, order = sig[inside], order[inside]
-        label = np.concatenate(marks)[order]
-        if label.any():
-            again = np.lexsort((label, sig))
-            sig, order, label = sig[again], order[again], label[again]
-            del again
-        cid, n = np.concatenate(cids)[order], np.concatenate(sizes)[order].astype(np.int32)
-        del cids, sizes, marks, order, same, inside
-        # members of a key come by label, those of one label aren't paired: a member's partners go from the next label to the end of the key
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        stop = np.append(np.flatnonzero(new), len(sig))[np.cumsum(new)]
-        new[1:] |= (label[1:] != label[:-1]) | (label[1:] == 0)
-        start = np.append(np.flatnonzero(new), len(sig))[np.cumsum(new)]
-        del new, label
-        names, cid = np.unique(cid, return_inverse=True)
-        held: list[np.ndarray] = []
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            pairs, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            for i in range(0, len(pairs), 500_000):
-                a, b = np.divmod(pairs[i : i + 500_000], len(names))
-                yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b]), pa.array(counts[i : i + 500_000].astype(np.int32)), pa.array(bound.meet(np.minimum(least[a], least[b])).astype(np.int32))], ["a", "b", "met", "least"])
-
-        least = np.zeros(len(names), np.int64)
-        least[cid] = n
-        at = np.arange(len(sig))
-        d = 0
-        while len(at):
-            at = at[start[at] + d < stop[at]]  # one that has met all drops out for good
-            if not len(at):
-                break
-            other = start[at] + d
-            x, y, u, v = cid[at], cid[other], n[at], n[other]
-            fit = (x != y) & ((np.minimum(u, v) * 100 >= np.maximum(u, v) * bound.num) | (np.maximum(u, v) == 65535))
-            x, y = x[fit], y[fit]
-            held.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
-            size += len(x)
-            if size > 2_000_000:
-                yield from out()
-                held, size = [], 0
-            d += 1
-        yield from out()
-        del sig, cid, n, at, held, start, stop
+        yield from meetings(batches, bound)
         K.trim()
 
     signed = reps.mapInArrow(sign, "bucket int, base long, count long, sig binary, step binary, n binary, label binary")
@@ -588,13 +636,13 @@ def _facts(docs: DataFrame, percent: int = 70, width: int = 3, on: str = "doc_id
     own = surveyed.where("kind = 0").select(F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("data").alias("_key"), F.col("label").alias("_label"))
     grouped = own.where("_n > 0").groupBy("_key").agg(F.min("_id").alias("_rep"), F.max("_n").alias("_n"), F.count("*").alias("_size"), F.max("_label").alias("_label"))
     own = own.drop("_label")
-    classes, total = running(grouped, [F.col("_rep"), F.col("_key")], {"_cid": F.lit(1), "_before": F.col("_n")}, "classes")
+    classes, total = running(grouped, [F.col("_rep"), F.col("_key")], {"_cid": F.lit(1), "_before": bound.all_keys(F.col("_n"))}, "classes")
     classes = stored(classes.drop("_before"), "classes")
     levels = {r[0]: lowest(r[1]) for r in surveyed.where("kind = 2").groupBy("id").agg(F.bit_or("n")).collect()}  # a row for each band
     flat = docs.select(F.coalesce(whole_ids(docs, on), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_text"))
     keyed = classes.select("_cid", "_rep", "_key", "_label")
     reps = flat.join(F.broadcast(keyed) if total["_cid"] <= small_classes else keyed, F.col("_id") == F.col("_rep")).select("_cid", "_key", "_label", "_text")
-    buckets = max(1, -(-total["_before"] // (2 * bucket_keys)))  # about half as many keys as shingles
+    buckets = max(1, -(-total["_before"] // bucket_keys))  # copies of keys in a grid aren't counted
     pairs = candidates(reps, width, bound, levels, rarity_of(surveyed), buckets, grid)
     links = verify(pairs, flat, classes, width, bound, small_classes=small_classes, **limits)
     sets = surveyed.where("kind = 0 and label > 0").groupBy(F.col("data").alias("_key")).agg(F.first("set", ignorenulls=True).alias("_set"))

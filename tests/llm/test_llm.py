@@ -2,9 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -528,6 +531,70 @@ def test_crowds_of_near_copies_are_linked_without_their_pairs(spark, monkeypatch
     assert seen[0].count() < 60  # of over 900 links
 
 
+def test_meeting_takes_the_memory_of_a_slice(spark, monkeypatch):
+    class Plan:  # stands for a frame, to have the functions that it is given
+        def __getattr__(self, name):
+            return lambda *a: self.__dict__.setdefault("given", []).append(a) or self
+
+        sparkSession = sparkContext = property(lambda self: self)
+
+        def broadcast(self, value):
+            return types.SimpleNamespace(value=value)
+
+    plan, bound, rng = Plan(), ngram_join.Bound(70), np.random.default_rng(3)
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: df)
+    ngram_join.candidates(plan, 3, bound, dict.fromkeys(range(9), 0), np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8), 1, 1000)
+    sign, meet = (a[0] for a in plan.given if callable(a[0]))
+    texts = [" ".join(map(str, rng.integers(0, 10**9, 300))) for _ in range(6000)]
+    texts[4000:4010] = [f"{t} more" for t in texts[:10]]
+    keys = [hashlib.md5(x.tobytes()).digest() for x in ngram_join.shingle_sets(*textkit.text_bytes(pa.array(texts)), 3)]
+    signed = list(sign([pa.RecordBatch.from_pydict({"_cid": range(6000), "_key": keys, "_label": [0] * 6000, "_text": texts})]))
+    n_keys = sum(sum(b.column("count").to_pylist()) for b in signed)
+    tracemalloc.start()
+    try:
+        found = [(a, b) for x in meet(iter(signed)) for a, b, met, least in zip(*(c.to_pylist() for c in x.columns)) if met >= least]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == [(i, 4000 + i) for i in range(10)]
+    assert n_keys > 800_000 and peak < 24 * n_keys  # a key is sent as 12 bytes, which aren't in the peak
+
+
+@pytest.mark.parametrize("apart", [1, 10**12])  # classes too far apart for a number for each pair are ranked
+def test_meetings_are_all_counted(apart):
+    rng = np.random.default_rng(4)
+    bound, size, label = ngram_join.Bound(70), rng.integers(20, 31, 40).astype(np.uint16), rng.integers(0, 3, 40).astype(np.uint16)
+    batches, members = [], {}
+    for k in range(6):
+        who, key = np.sort(rng.integers(0, 40, 200)), (rng.integers(0, 60, 200) * 71_582_788).astype(np.uint32)
+        step = np.diff(who * apart, prepend=who[0] * apart)
+        marks = label[who].tobytes() if k else b""
+        for w, x in zip(who.tolist(), key.tolist()):
+            members.setdefault(x, []).append((w, int(label[w]) if k else 0))
+        batches.append(pa.RecordBatch.from_pydict({"base": [int(who[0]) * apart], "count": [200], "sig": [key.tobytes()], "step": [step.astype(np.int32 if apart == 1 else np.int64).tobytes()], "n": [size[who].tobytes()], "label": [marks]}))
+    want = {}
+    for of_key in members.values():
+        for i, (a, la) in enumerate(of_key):
+            for b, lb in of_key[:i]:
+                if a != b and (la != lb or not la) and 100 * min(size[a], size[b]) >= 70 * max(size[a], size[b]):
+                    pair = min(a, b) * apart, max(a, b) * apart
+                    want[pair] = want.get(pair, 0) + 1
+    for limits in ({}, {"slice_keys": 50, "most": 20}):
+        got = {}
+        for x in ngram_join.meetings(iter(batches), bound, **limits):
+            assert x.schema.types == [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            for a, b, met, least in zip(*(c.to_pylist() for c in x.columns)):
+                got[a, b] = got.get((a, b), 0) + met
+                assert least == bound.meet(int(min(size[a // apart], size[b // apart])))
+        assert got == want and len(want) > 500
+
+
+def test_keys_of_a_set_are_known_from_its_size(spark):
+    bound = ngram_join.Bound(70)
+    got = spark.range(1, 6000).select("id", bound.all_keys(F.col("id"))).collect()
+    assert all(k == len(ngram_join.bands(n, bound)) * bound.keys(n) for n, k in got)
+
+
 def test_pigeonhole():
     bound = ngram_join.Bound(70)
     r = np.random.default_rng(0)
