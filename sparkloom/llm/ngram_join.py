@@ -221,37 +221,49 @@ def crowds(docs: DataFrame, width: int, least: int) -> Crowds:
 
 
 def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
-    """The sizes of the intersections of the sets before `split` with those from it on; at 0, of all with all (but themselves)."""
+    """The sizes of the intersections of the sets before `split` with those from it on; at 0, of all with all (but themselves).
+
+    Beside the result and the shingles, all that is made is of a slice of them."""
     n, full = len(sets), np.concatenate(sets)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
     order = np.argsort(full, kind="stable")
-    full, row = full[order], row[order]
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])[order]
+    full = full[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], full[1:] != full[:-1]]))
     count = np.diff(np.append(first, len(full)))
-    column = np.repeat(np.arange(len(first)), count)
+    del full
     up, left = (split, n - split) if split else (n, n)
     out = np.zeros((up, left), np.float32)
     # pairs of sets that share a rarer shingle
-    at = np.flatnonzero((count < HEAVY)[column])
-    d = 1
-    while len(at):
-        at = at[at + d < len(full)]
-        at = at[column[at] == column[at + d]]
-        x, y = row[at].astype(np.int64), row[at + d].astype(np.int64)
-        if split:
-            fit = (x < split) & (y >= split)
-            x, y = x[fit], y[fit] - split
-        np.add.at(out.reshape(-1), x * left + y, np.float32(1))
-        d += 1
-    if not split:
-        out += out.T.copy()
+    rare = np.flatnonzero((count > 1) & (count < HEAVY))
+    slices = (np.cumsum(count[rare]) - 1) // SLICE_KEYS
+    for own in np.split(rare, np.flatnonzero(np.diff(slices)) + 1):
+        size = count[own]
+        stop = np.repeat(first[own] + size, size)
+        at = np.arange(len(stop)) + np.repeat(first[own] - np.cumsum(size) + size, size)
+        d = 1
+        while len(at):
+            fit = at + d < stop
+            at, stop = at[fit], stop[fit]
+            x, y = row[at].astype(np.int64), row[at + d].astype(np.int64)
+            if split:
+                fit = (x < split) & (y >= split)
+                x, y = x[fit], y[fit] - split
+            np.add.at(out.reshape(-1), x * left + y, np.float32(1))
+            d += 1
+    if not split:  # so far they are above the diagonal
+        for i in range(0, n, 256):
+            j = i + 256
+            out[j:, i:j] = out[i:j, j:].T
+            out[i:j, i:j] += out[i:j, i:j].T.copy()
     heavy = np.flatnonzero(count >= HEAVY)
-    for i in range(0, len(heavy), 1024):
-        own = heavy[i : i + 1024]
+    for i in range(0, len(heavy), 512):
+        own = heavy[i : i + 512]
         m = np.zeros((n, len(own)), np.float32)
         for k, c in enumerate(own.tolist()):
             m[row[first[c] : first[c] + count[c]], k] = 1
-        out += m[:up] @ m[split:].T
+        for j in range(0, up, 256):
+            out[j : j + 256] += m[j : min(up, j + 256)] @ m[split:].T
     return out
 
 

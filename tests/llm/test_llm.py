@@ -589,6 +589,23 @@ def test_meetings_are_all_counted(apart):
         assert got == want and len(want) > 500
 
 
+@pytest.mark.parametrize("split", [0, 1000])
+def test_overlaps_take_little_beside_the_result(split):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 120).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 90, False), rng.integers(0, 9999, 20).astype(np.uint64)])) for _ in range(2500)]
+    tracemalloc.start()
+    try:
+        got = ngram_join.overlaps(sets, split)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.shape == ((split, 2500 - split) if split else (2500, 2500)) and peak < got.nbytes + 12_000_000
+    for a, b in rng.integers(0, 2500, (2000, 2)).tolist():
+        if (a < split <= b) if split else a != b:
+            assert got[a, b - split] == len(np.intersect1d(sets[a], sets[b], True))
+
+
 def test_keys_of_a_set_are_known_from_its_size(spark):
     bound = ngram_join.Bound(70)
     got = spark.range(1, 6000).select("id", bound.all_keys(F.col("id"))).collect()
