@@ -13,8 +13,8 @@ similar pair's blocks meet, and pairs that meet in fewer are dropped without loo
 The global order puts blocks with rare shingles first, by a count sketch of fixed size over the whole corpus, so that passages
 which many documents share are hardly ever keys; it is only an order, any sketch gives the same links. Keys whose count may be
 large are spread over a grid of tasks. Pairs that meet are verified on the full sets, grouped by their smallest partner so that
-a set is sent to few tasks; groups with too many pairs or too large sets are cut into cells. Components are found by alternating
-stars. Nothing grows on the driver. The links between n different near copies are n (n - 1) / 2, and all of them are counted.
+a set is sent to few tasks; groups with too many pairs or too large sets are cut into cells. Components: each task contracts its
+links to a forest; what is left goes to one task or, if it is too much for that, by alternating stars. Nothing grows on the driver. The links between n different near copies are n (n - 1) / 2, and all of them are counted.
 
 Such a crowd grows with the corpus, and each of its pairs would meet in hundreds of keys. So the largest crowds are looked for in a
 sample; sets near one of the sampled ones get the crowd's label. Pairs within a label aren't made from keys: the overlaps of all of
@@ -50,6 +50,8 @@ NO_ID = -(1 << 63)
 GRID = 100_000
 #: classes that are broadcast at most with their ids
 BROADCAST_CLASSES = 500_000
+#: edges, after each task has contracted its own, that one task joins to components
+TASK_EDGES = 500_000
 #: sets in the sample that is searched for crowds; how many of it with one signature are a crowd; signatures, sets of each and their size at most
 SAMPLE = 8192
 CROWD = 4
@@ -604,8 +606,12 @@ def verify(
     return stored(linked, "links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(v, root) for every v that has a link, root being the smallest of its component; by alternating stars."""
+def components(links: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(v, root) for every v that has a link and isn't a root itself, root being the smallest of its component.
+
+    Beyond `task_edges` by alternating stars. Each of their rounds is a plan of a dozen stages and broadcasts, all of which take
+    memory of the driver, so few edges are labelled by one task.
+    """
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
@@ -625,7 +631,10 @@ def components(links: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 100_000])], ["u", "v"])
 
     edges = stored(links.select("a", "b").mapInArrow(contract, "u long, v long").distinct(), "edges")
-    before, total = None, 2 * edges.count()
+    total = edges.count()
+    if total <= task_edges:
+        return edges.coalesce(1).mapInArrow(contract, "u long, v long").select(F.col("u").alias("_cid"), F.col("v").alias("_root"))
+    before, total = None, 2 * total
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
@@ -705,7 +714,7 @@ def keep_first(docs: DataFrame, on: str = "doc_id", text: str = "text", *, width
     ids = chosen.select(F.col("_id").alias(id_)).distinct()
     own_id = F.coalesce(docs[on].cast("long"), F.lit(NO_ID))
     left = docs.join(F.broadcast(ids) if small else ids, own_id == ids[id_], "left_semi")
-    if left.select(on).distinct().count() == left.count():
+    if left.groupBy(on).count().where("count > 1").isEmpty():
         return left
     # an id with several rows: those of the chosen sets, one of each, but all that have no words
     marked = _keyed(left, text, width, key)

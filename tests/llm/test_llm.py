@@ -467,6 +467,38 @@ def test_similar(spark, seed, grid):
     assert rows(ngram_join.similar(frame(spark, data), grid=grid, bucket_keys=3000)) == sorted(ngram_join.brute_force(data), key=repr)
 
 
+def linked(spark):
+    """Links between chains, a star, a ring and random pairs, in any order, over several tasks; and the least of each component."""
+    r = random.Random(7)
+    pairs = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)]
+    pairs += [(3000 + r.randrange(400), 3000 + r.randrange(400)) for _ in range(200)] + [(1 << 40, (1 << 40) + 1)]
+    names = [*{x for p in pairs for x in p}]
+    name = dict(zip(names, r.sample(names, len(names))))
+    pairs = [(name[a], name[b]) for a, b in r.sample(pairs, len(pairs)) if a != b]
+    least = {x: x for p in pairs for x in p}
+    while (changed := {x: m for a, b in pairs for x in (a, b) if (m := min(least[a], least[b])) < least[x]}):
+        least |= changed
+    return spark.createDataFrame(pairs, "a long, b long").repartition(5), sorted(((x, m) for x, m in least.items() if x != m), key=repr)
+
+
+@pytest.mark.parametrize("task_edges", [ngram_join.TASK_EDGES, 0])
+def test_components_by_one_task_and_by_stars(spark, task_edges):
+    links, want = linked(spark)
+    assert rows(ngram_join.components(links, task_edges)) == want
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    links, want = linked(spark)
+    sc = spark.sparkContext
+    sc.setJobGroup("few links", "")
+    try:
+        assert rows(ngram_join.components(links)) == want
+        jobs = len(sc.statusTracker().getJobIdsForGroup("few links"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs <= 8  # by stars there are some in each round, with broadcasts in the driver's memory
+
+
 def test_keep_first(spark):
     data = corpus(60) + EDGE[:3] + [(0, corpus(60)[0][1])]
     df = frame(spark, data)
