@@ -609,8 +609,8 @@ def verify(
 def components(links: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(v, root) for every v that has a link and isn't a root itself, root being the smallest of its component.
 
-    Beyond `task_edges` by alternating stars. Each of their rounds is a plan of a dozen stages and broadcasts, all of which take
-    memory of the driver, so few edges are labelled by one task.
+    Beyond `task_edges` by alternating stars. Their rounds are plans of many stages and broadcasts, all of which take memory of the
+    driver, so few edges are labelled by one task, and a round stores what it uses several times, which else is planned anew each time.
     """
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -637,10 +637,10 @@ def components(links: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     before, total = None, 2 * total
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "stars")
         large = join_skewed(both.where("v > u"), least, "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        down = stored(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+        least = stored(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "stars")
         small = join_skewed(down, least, "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         edges = stored(small.distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -487,6 +487,19 @@ def test_components_by_one_task_and_by_stars(spark, task_edges):
     assert rows(ngram_join.components(links, task_edges)) == want
 
 
+def test_a_round_of_stars_is_planned_once(spark, monkeypatch):
+    links, want = linked(spark)
+    sizes, stored = [], ngram_join.stored
+
+    def counted(df, name):
+        sizes.append(df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate"))
+        return stored(df, name)
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    assert rows(ngram_join.components(links, 0)) == want
+    assert max(sizes) <= 2  # groups are joined in two ways, each of which planned all before it anew
+
+
 def test_components_of_few_links_take_few_jobs(spark):
     links, want = linked(spark)
     sc = spark.sparkContext
