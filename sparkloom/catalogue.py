@@ -284,13 +284,13 @@ _AGGREGATE = f"(select piece, avg(rank_score) as avg_rank, avg(norm_score) as av
 
 @query(f"select source, piece, rank, round(rank_score, 9) as rank_score, round(norm_score, 9) as norm_score from {_NORMAL}")
 def sp_rank_norm(spark, d):
-    return vocab.rank_normalised(_pieces(spark, d)).select("source", "piece", F.col("rank").cast("long").alias("rank"), F.round("rank_score", 9).alias("rank_score"), F.round("norm_score", 9).alias("norm_score"))
+    return vocab.rank_normalised(_pieces(spark, d)).select("source", "piece", F.col("rank").cast("long").alias("rank"), V.rounded("rank_score", 9).alias("rank_score"), V.rounded("norm_score", 9).alias("norm_score"))
 
 
 @query(f"select piece, round(avg_rank, 9) as avg_rank, round(avg_norm, 9) as avg_norm, round(best_rank, 9) as best_rank, occurrences, sources, videos, wikis from {_AGGREGATE}")
 def sp_aggregate(spark, d):
     a = vocab.aggregate_pieces(vocab.rank_normalised(_pieces(spark, d)))
-    return a.select("piece", *[F.round(c, 9).alias(c) for c in ("avg_rank", "avg_norm", "best_rank")], "occurrences", "sources", "videos", "wikis")
+    return a.select("piece", *[V.rounded(c, 9).alias(c) for c in ("avg_rank", "avg_norm", "best_rank")], "occurrences", "sources", "videos", "wikis")
 
 
 _ASCII = "regexp_full_match(piece, '[=._A-Za-z0-9-]+')"
@@ -301,7 +301,7 @@ _ASCII = "regexp_full_match(piece, '[=._A-Za-z0-9-]+')"
  + least(videos, 4) * 0.2 + least(wikis, 1) * 0.03, 6) as score from {_AGGREGATE}""")
 def sp_score(spark, d):
     a = vocab.aggregate_pieces(vocab.rank_normalised(_pieces(spark, d)))
-    return a.select("piece", F.round(vocab.piece_score(F.col("piece"), 4, 3), 6).alias("score"))
+    return a.select("piece", V.rounded(vocab.piece_score(F.col("piece"), 4, 3), 6).alias("score"))
 
 
 @query(f"""
@@ -359,7 +359,7 @@ def token_weight_power(spark, d):
 
 @query(f"with f as {FREQ}, t as (select sum(term_freq) * 0.001 as t from f) select token, round(least((sqrt(term_freq / t) + 1) * t / term_freq, 1.0), 9) as probability from f, t")
 def subsample_prob(spark, d):
-    return vocab.subsampled(_freq(spark, d)).select("token", F.round("probability", 9).alias("probability"))
+    return vocab.subsampled(_freq(spark, d)).select("token", V.rounded("probability", 9).alias("probability"))
 
 
 @query(f"with f as {FREQ}, n as (select case when count(*) > 200 then min(term_freq) + 1 else 1 end as bar from (select term_freq from f order by term_freq desc, token limit 201)) select token, term_freq from f, n where term_freq >= bar order by term_freq desc, token limit 200")
@@ -381,7 +381,7 @@ _E = "embedding::double[]"
 def cosine_pairs(spark, d):
     v = _vectors(spark, d)
     right = v.select((F.col("id") - 1).alias("id"), F.col("vector").alias("w"))
-    return v.join(right, "id").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.round(V.cosine(F.col("vector"), F.col("w")), 6).alias("sim"))
+    return v.join(right, "id").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), V.rounded(V.cosine(F.col("vector"), F.col("w")), 6).alias("sim"))
 
 
 @query(f"""
@@ -390,7 +390,7 @@ select query, id, rank, round(sim, 6) as similarity from (select query, id, sim,
 def knn_top3(spark, d):
     v = _vectors(spark, d)
     found = neighbours.nearest(v.where("id % 100 = 0"), v, 3, digits=9)
-    return found.select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+    return found.select("query", "id", F.col("rank").cast("long").alias("rank"), V.rounded("similarity", 6).alias("similarity"))
 
 
 @query(f"select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(a.{_E}, b.{_E}) >= 0.5")
@@ -443,7 +443,7 @@ def hamming_topk(spark, d):
 @query(f"select i::int as bit, round(avg(substr(bits, i + 1, 1)::int), 9) as mean from {_BITS}, (select unnest(generate_series(0, 31)) as i) group by i")
 def bit_balance(spark, d):
     codes = hashing.lsh(_vectors(spark, d), _planes(spark, d))
-    return hashing.bit_means(codes, 32).select("bit", F.round("mean", 9).alias("mean"))
+    return hashing.bit_means(codes, 32).select("bit", V.rounded("mean", 9).alias("mean"))
 
 
 @query()
@@ -483,7 +483,7 @@ select model, round(avg(score), 6) as score from sc group by model""")
 def rank_scores(spark, d):
     hits = _hits(spark, d)
     s = ranks.rank_scores(pipelines.benchmark(hits, hits, list(_MODELS)))
-    return ranks.overall_scores(s).select("model", F.round("score", 6).alias("score"))
+    return ranks.overall_scores(s).select("model", V.rounded("score", 6).alias("score"))
 
 
 _PAIRS = f"(select a.vec_id as id, list_cosine_similarity((a.{_E})[1:32], (b.{_E})[1:32]) as x, list_cosine_similarity((a.{_E})[33:64], (b.{_E})[33:64]) as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"
@@ -500,20 +500,20 @@ def _pairs(spark, d) -> DataFrame:
 select round(corr(x, y), 6) as pearson, round(corr(rx, ry), 6) as spearman, round(avg(abs(x - y)), 6) as mae, round(avg((x - y) * (x - y)), 6) as mse from p""")
 def cos_vs_hash_corr(spark, d):
     a = ranks.agreement(_pairs(spark, d), "x", "y", ["id"])
-    return a.select(*[F.round(c, 6).alias(c) for c in a.columns])
+    return a.select(*[V.rounded(c, 6).alias(c) for c in a.columns])
 
 
 @query(f"select round(covar_pop(x, y) / var_pop(x), 6) as slope, round(avg(y) - covar_pop(x, y) / var_pop(x) * avg(x), 6) as intercept from {_PAIRS}")
 def linear_calibration(spark, d):
     c = ranks.calibration(_pairs(spark, d), "x", "y")
-    return c.select(*[F.round(n, 6).alias(n) for n in c.columns])
+    return c.select(*[V.rounded(n, 6).alias(n) for n in c.columns])
 
 
 @query(f"""with b as (select unnest(generate_series(0, 7))::int as bin, unnest([-1, -.5, -.2, 0, .2, .4, .6, .8]::double[]) as lo, unnest([-.5, -.2, 0, .2, .4, .6, .8, 1.0001]::double[]) as hi)
 select bin, lo, hi, count(id) as n, round(avg(x), 6) as x_mean, round(avg(y), 6) as y_mean, round(stddev_pop(y), 6) as y_std, round(avg(abs(y - x)), 6) as mae from b left join {_PAIRS} p on x >= lo and x < hi group by bin, lo, hi""")
 def bucket_report(spark, d):
     r = ranks.bucket_report(_pairs(spark, d), "x", "y")
-    return r.select("bin", "lo", "hi", "n", *[F.round(c, 6).alias(c) for c in ("x_mean", "y_mean", "y_std", "mae")])
+    return r.select("bin", "lo", "hi", "n", *[V.rounded(c, 6).alias(c) for c in ("x_mean", "y_mean", "y_std", "mae")])
 
 
 _TOP = "(select a, b, row_number() over (partition by a order by round(s, 9) desc, b) as k from (select a.vec_id as a, b.vec_id as b, list_cosine_similarity((a.embedding::double[])[{0}], (b.embedding::double[])[{0}]) as s from embeddings a, embeddings b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id))"
@@ -524,7 +524,7 @@ select round(avg(o), 6) as overlap from c""")
 def topk_overlap(spark, d):
     v = _vectors(spark, d)
     near = lambda a: neighbours.nearest(*(t.select("id", F.slice("vector", a, 32).alias("vector")) for t in (v.where("id % 100 = 0"), v)), 10, digits=9)
-    return ranks.topk_overlap(near(1), near(33), 10).select(F.round("overlap", 6).alias("overlap"))
+    return ranks.topk_overlap(near(1), near(33), 10).select(V.rounded("overlap", 6).alias("overlap"))
 
 
 @query("select vec_id as id, list_transform(list_filter(generate_series(1, 66), lambda i: (i - 1) % 3 < 2), lambda i: coalesce(embedding[i]::double, 0)) as v from embeddings")
@@ -542,7 +542,7 @@ with g as (select vec_id as id, [embedding[1:16]::double[], embedding[17:32]::do
 select id, list_transform(generate_series(0, 63), lambda k: round(list_sum(list_transform([0, 1, 2, 3], lambda r: case when ((k - r) + 64) % 64 % 4 = 0 then rows[r + 1][((k - r) + 64) % 64 // 4 + 1] else 0 end)), 6)) as v from g""")
 def stretch_shift_add(spark, d):
     rows = F.array(*[F.slice("vector", a, 16).cast("array<double>") for a in (1, 17, 33, 49)])
-    return _vectors(spark, d).select("id", F.transform(V.stretch_shift_add(rows, 4), lambda x: F.round(x, 6)).alias("v"))
+    return _vectors(spark, d).select("id", F.transform(V.stretch_shift_add(rows, 4), lambda x: V.rounded(x, 6)).alias("v"))
 
 
 @query("select vec_id as id, list_transform(list_filter(generate_series(1, 63), lambda i: (i - 1) % 21 < 5), lambda i: embedding[i]) as v from embeddings")
@@ -554,17 +554,17 @@ def sample_to_dim(spark, d):
 def weighted_doc_vector(spark, d):
     v = _vectors(spark, d)
     right = v.select((F.col("id") - 1).alias("id"), F.col("vector").alias("w"))
-    return v.join(right, "id").select("id", F.transform(V.weighted_sum((F.col("vector"), 1.0), (F.col("w"), 0.5)), lambda x: F.round(x, 6)).alias("v"))
+    return v.join(right, "id").select("id", F.transform(V.weighted_sum((F.col("vector"), 1.0), (F.col("w"), 0.5)), lambda x: V.rounded(x, 6)).alias("v"))
 
 
 @query("select label, list_transform(generate_series(1, 64), lambda i: round(list_avg(list_transform(l, lambda e: e[i]::double)), 6)) as v from (select label, list(embedding) as l from embeddings group by label)")
 def pooled_vectors(spark, d):
-    return weights.pooled(_vectors(spark, d), "label").select("label", F.transform("vector", lambda x: F.round(x, 6)).alias("v"))
+    return weights.pooled(_vectors(spark, d), "label").select("label", F.transform("vector", lambda x: V.rounded(x, 6)).alias("v"))
 
 
 @query("select vec_id as id, list_transform(embedding, lambda x: round(x::double / (sqrt(list_dot_product(embedding::double[], embedding::double[])) + 1e-12), 6)) as v from embeddings")
 def l2_normalised(spark, d):
-    return _vectors(spark, d).select("id", F.transform(V.normalised(F.col("vector")), lambda x: F.round(x, 6)).alias("v"))
+    return _vectors(spark, d).select("id", F.transform(V.normalised(F.col("vector")), lambda x: V.rounded(x, 6)).alias("v"))
 
 
 # --- lookups, upserts, keys ------------------------------------------------------------------------------------------

@@ -211,7 +211,7 @@ select coalesce(s.piece, f.piece) as piece, round(greatest(s.score, f.floor), 6)
 
 @query(_MERGED)
 def sp_merge(spark, d):
-    return vocab.merge_pieces(_pieces(spark, d)).select("piece", F.round("score", 6).alias("score"))
+    return vocab.merge_pieces(_pieces(spark, d)).select("piece", V.rounded("score", 6).alias("score"))
 
 
 @query(f"""
@@ -236,7 +236,7 @@ def record_words(spark, d):
 @query("select o_orderkey, case when o_orderstatus = 'F' then 'include' when o_orderstatus = 'O' then 'mid' else 'exclude' end as pos, case when o_orderstatus = 'P' then 0.1 when o_orderstatus = 'O' then 0.55 else 1.0 end::double as weight from orders")
 def part_of_speech(spark, d):
     p = F.col("o_orderstatus")
-    return table(spark, d, "orders").select("o_orderkey", vocab.part_of_speech_group(p, ["F"], ["O"]).alias("pos"), F.round(weights.speech_weight(p, ["P"], ["O"]), 6).alias("weight"))
+    return table(spark, d, "orders").select("o_orderkey", vocab.part_of_speech_group(p, ["F"], ["O"]).alias("pos"), V.rounded(weights.speech_weight(p, ["P"], ["O"]), 6).alias("weight"))
 
 
 @query("select o_orderkey, floor(k * 2500 / 1000000)::bigint as size, floor(k / 200)::bigint as merged, (floor(k / power(10, greatest(length(k::varchar) - 2, 0))) * power(10, greatest(length(k::varchar) - 2, 0)))::bigint as label from (select o_orderkey, o_orderkey * 997 as k from orders)")
@@ -315,7 +315,7 @@ def _tokens(spark, d) -> DataFrame:
 
 
 def _rounded(v):
-    return F.transform(v, lambda x: F.round(x, 6))
+    return F.transform(v, lambda x: V.rounded(x, 6))
 
 
 @query(f"""with s as (select label, {_AT.format('list_sum(list_transform(l, lambda e: e.u[i] * e.w))')} as s from (select label, list(struct_pack(u := u, w := 1 + vec_id % 3)) as l from {_UNIT} group by label))
@@ -330,7 +330,7 @@ def text_vectors(spark, d):
 def pooled_max_and_sum(spark, d):
     t = _tokens(spark, d)
     top = weights.pooled(t, "label", how="max").select("label", _rounded(F.col("vector")).alias("top"))
-    total = weights.pooled(t, "label", how="sum").select("label", F.transform("vector", lambda x: F.round(x, 5)).alias("total"))
+    total = weights.pooled(t, "label", how="sum").select("label", F.transform("vector", lambda x: V.rounded(x, 5)).alias("total"))
     return top.join(total, "label")
 
 
@@ -339,7 +339,7 @@ select sample, round(sum(case when raw < 0.15 then 0 else raw * w end), 6) as sc
 def pair_scores(spark, d):
     t = _tokens(spark, d)
     samples = t.select(F.col("label").alias("sample"), "token", "vector", (F.lit(1.0) + F.col("vec_id") % 2).alias("weight"))
-    return weights.pair_scores(t.where("vec_id = 0").select("vector"), samples).select("sample", F.round("score", 6).alias("score"))
+    return weights.pair_scores(t.where("vec_id = 0").select("vector"), samples).select("sample", V.rounded("score", 6).alias("score"))
 
 
 @query(f"""with n as (select label, vec_id, {_D} as e, row_number() over (partition by label order by vec_id) as k from embeddings)
@@ -358,8 +358,8 @@ def least_important(spark, d):
 from (select vec_id, {_D} as e from embeddings) a join (select vec_id, {_D} as e from embeddings) b on b.vec_id = a.vec_id + 1 join (select vec_id, {_D} as e from embeddings) c on c.vec_id = a.vec_id + 2""")
 def blended_vectors(spark, d):
     t = _tokens(spark, d)
-    top = t.agg(F.max("vec_id").alias("top"))
-    own = t.crossJoin(F.broadcast(top)).where(F.col("vec_id") <= F.col("top") - 2)  # one row
+    before = lambda n: t.select((F.col("vec_id") - n).alias("vec_id"))
+    own = t.join(before(1), "vec_id", "left_semi").join(before(2), "vec_id", "left_semi")  # both parts are there
     splits = own.select("token", F.explode(F.array(F.col("vec_id") + 1, F.col("vec_id") + 2).cast("array<string>")).alias("piece"))
     return weights.blended(t, splits).join(own.select("token"), "token", "left_semi").select("token", _rounded(F.col("vector")).alias("vector"))
 

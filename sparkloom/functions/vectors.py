@@ -27,6 +27,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """As DuckDB's round(): the nearest whole number of the double times a power of ten, halves away from zero.
+
+    Spark's round goes by a double's decimal text instead, so the two differ where the product ends in exactly a half.
+    """
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    y = x * 10.0**digits
+    near = F.rint(y)
+    whole = F.when(F.abs(y - near) == 0.5, y + F.signum(y) * 0.5).otherwise(near)
+    return F.when(F.abs(y) < float("inf"), whole / 10.0**digits).otherwise(x)
+
+
 def truncate(x: Column, at: float = 0.15, to: float = 0.0) -> Column:
     return F.when(x < at, to).otherwise(x)
 

@@ -214,3 +214,26 @@ def test_edited_by_source(spark):
     data = [("en", 0, "word"), ("en", 1, "a"), ("de", 0, "x"), ("de", 1, "wort"), ("de", 2, "12"), ("de", 3, "z"), (None, 0, "mot"), (None, 1, "o")]
     got = vocab.edited(spark.createDataFrame(data, "source string, rank int, piece string"), "source").collect()
     assert sorted(((r["source"], r["piece"]) for r in got), key=repr) == sorted([("en", "word"), ("de", "x"), ("de", "wort"), (None, "mot")], key=repr)
+
+
+def test_rounded_as_duckdb(spark):
+    import duckdb
+
+    x = [(k + 0.5) / 1e6 for k in range(-2000, 2000)] + [0.0, -1e-9, 2.5e-6, 0.49999999999999994e-6, 1e300, float("inf"), None]
+    got = [r["r"] for r in spark.createDataFrame([(v,) for v in x], "x double").select(V.rounded("x", 6).alias("r")).collect()]
+    want = [duckdb.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in x]
+    assert list(map(repr, got)) == list(map(repr, want))
+
+
+def test_blended_with_missing_ids(spark, tmp_path):
+    import duckdb
+
+    from sparkloom import catalogue_rules
+
+    rng = np.random.default_rng(5)
+    data = [(i, rng.standard_normal(64).tolist(), 0) for i in (0, 1, 2, 3, 5, 6, 8)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = {r["token"]: list(r["vector"]) for r in catalogue_rules.QUERIES["blended_vectors"](spark, str(tmp_path)).collect()}
+    assert got == dict(duck.execute(catalogue_rules.ORACLE["blended_vectors"]).fetchall()) and set(got) == {"0", "1"}
