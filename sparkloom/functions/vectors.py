@@ -44,8 +44,8 @@ def truncate(x: Column, at: float = 0.15, to: float = 0.0) -> Column:
 
 
 def normalised(v: Column, eps: float = 1e-12) -> Column:
-    n = norm(v) + eps
-    return F.transform(doubles(v), lambda x: x / n)
+    # the length is bound to a name, else it would be computed for each element
+    return F.transform(F.array(norm(v) + eps), lambda n: F.transform(doubles(v), lambda x: x / n))[0]
 
 
 def stretch(v: Column, scale: int) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,14 +107,50 @@ def window_sums(rows: DataFrame, doc: str, place: str, distance: int, with_self:
     return summed.groupBy(doc, place).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: p.s).alias("sum"))
 
 
+def _unit_sums(rows: DataFrame, doc: str, token: str, vector: str) -> DataFrame:
+    """(doc, token, _v, _n): the sum of the unit vectors of a token's rows and how many they are; vectors of length 0 count as none."""
+    kinds = dict(rows.dtypes)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                flat, there = part.column(2).flatten().to_numpy(zero_copy_only=False), np.asarray(part.column(2).is_valid())
+                m = np.zeros((part.num_rows, len(flat) // max(1, there.sum())))
+                m[there] = flat.reshape(there.sum(), -1)
+                size = np.sqrt((m * m).sum(axis=1))
+                good = size > 0  # not so for nulls either
+                m = np.divide(m, size[:, None], out=np.zeros_like(m), where=good[:, None])
+                codes = [part.column(i).dictionary_encode() for i in (0, 1)]
+                key = codes[0].indices.to_numpy().astype(np.int64) * len(codes[1].dictionary) + codes[1].indices.to_numpy()
+                order = np.argsort(key, kind="stable")
+                starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+                sums, n = np.add.reduceat(m[order], starts, axis=0), np.add.reduceat(good[order].astype(np.int64), starts)
+                taken = pa.array(order[starts])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * m.shape[1], pa.int32()), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(taken), part.column(1).take(taken), lists, pa.array(n)], [doc, token, "_v", "_n"])
+
+    flat = rows.where(F.col(doc).isNotNull() & F.col(token).isNotNull()).select(doc, token, F.col(vector).cast("array<double>").alias("_v"))
+    parts = flat.mapInArrow(add, f"`{doc}` {kinds[doc]}, `{token}` {kinds[token]}, _v array<double>, _n long")
+    # a row for each batch that has the token; of vectors of length 0 alone there may be empty ones
+    lists = parts.groupBy(doc, token).agg(F.collect_list("_v").alias("_l"), F.sum("_n").alias("_n"))
+    total = F.aggregate("_l", F.array().cast("array<double>"), lambda s, v: F.zip_with(s, v, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
+    return lists.select(doc, token, total.alias("_v"), "_n")
+
+
 def least_important(rows: DataFrame, doc: str, token: str = "token", vector: str = "vector") -> DataFrame:
-    """The token of each document with the greatest sum of cosines with its other tokens, that is the least to add."""
+    """The token of each document with the greatest sum of cosines with its other tokens, that is the least to add.
+
+    That sum is the token's unit vector by the sum of the others', so no pair of tokens is made.
+    """
     from ..functions import vectors as V
 
-    left = rows.select(doc, F.col(token).alias("a"), F.col(vector).alias("u"))
-    right = rows.select(doc, F.col(token).alias("b"), F.col(vector).alias("v"))
-    near = left.join(right, doc).where("a <> b").groupBy(doc, "a").agg(F.sum(V.cosine(F.col("u"), F.col("v"))).alias("near"))
-    return near.groupBy(doc).agg(F.max_by("a", F.struct("near", "a")).alias("token"))
+    own = _unit_sums(rows, doc, token, vector)
+    counts = own.groupBy(doc).agg(F.sum("_n").alias("_all"), F.count("*").alias("_tokens")).where("_tokens > 1")
+    whole = pooled(own, doc, "_v", "sum").withColumnRenamed("vector", "_s")
+    both = own.join(counts.join(whole, doc, "left"), doc)
+    near = F.when((F.col("_n") > 0) & (F.col("_all") > F.col("_n")), V.dot(F.col("_v"), F.zip_with("_s", "_v", lambda s, x: s - x)))
+    return both.select(doc, F.col(token).alias("a"), near.alias("near")).groupBy(doc).agg(F.max_by("a", F.struct("near", "a")).alias("token"))
 
 
 def blended(token_vectors: DataFrame, splits: DataFrame, whole: float = 1.0, part: float = 0.8) -> DataFrame:

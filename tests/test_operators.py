@@ -237,3 +237,27 @@ def test_blended_with_missing_ids(spark, tmp_path):
     duck.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     got = {r["token"]: list(r["vector"]) for r in catalogue_rules.QUERIES["blended_vectors"](spark, str(tmp_path)).collect()}
     assert got == dict(duck.execute(catalogue_rules.ORACLE["blended_vectors"]).fetchall()) and set(got) == {"0", "1"}
+
+
+def test_least_important_against_pairs(spark):
+    rng = np.random.default_rng(6)
+    data = [(d, f"t{rng.integers(0, 9)}", rng.standard_normal(5).tolist()) for d in (1, 2) for _ in range(30)]
+    data += [(1, "t3", [0.0] * 5), (1, "t4", None), (3, "alone", [1.0] * 5), (3, "alone", [2.0] * 5), (4, "x", [0.0] * 5), (4, "y", [1.0] * 5), (5, "p", [1.0] * 5), (5, "q", [1.0] * 5), (6, None, [1.0] * 5)]
+    df = spark.createDataFrame(data, "doc int, token string, vector array<double>").repartition(3)
+    want = {}
+    for d in {r[0] for r in data}:
+        near = {}
+        own = [(t, np.array(v or [0.0] * 5)) for x, t, v in data if x == d and t]
+        for a, u in own:
+            for b, v in own:
+                if a != b:
+                    near.setdefault(a, [])
+                    if u.any() and v.any():
+                        near[a].append(u @ v / np.linalg.norm(u) / np.linalg.norm(v))
+        if near:
+            want[d] = max((bool(c), sum(c), a) for a, c in near.items())[2]
+    found = weights.least_important(df, "doc")
+    assert {r["doc"]: r["token"] for r in found.collect()} == want and set(want) == {1, 2, 4, 5}
+    # a pair of rows is never made: tokens of a document meet its sum only
+    few = weights.least_important(spark.range(20_000).select(F.lit(1).alias("doc"), F.col("id").cast("string").alias("token"), F.array(F.cos("id"), F.sin("id")).alias("vector")), "doc")
+    assert few.count() == 1
