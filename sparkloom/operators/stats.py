@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,33 @@ def ranges_table(spark: SparkSession, ranges: Sequence[tuple[dt.date, dt.date]])
     return spark.createDataFrame([(a.isoformat(), b.isoformat(), a, b) for a, b in ranges], "range_start string, range_end string, lo date, hi date")
 
 
+def percentiles_disc(rows: DataFrame, by: str, column: str, points: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """(by, values): of each group the values at the points, each the first with at least that share of the group's rows up to it; nulls are left out.
+
+    No task holds a group's values. A sketch gives cuts a little below and above each point, rows are counted between and at
+    the cuts, and only values of the cells in which the points fall are counted one by one. The cuts only save work: with
+    others the result is the same.
+    """
+    there = rows.where(F.col(column).isNotNull()).select(F.col(by).alias("_by"), F.col(column).alias("_x"))
+    shares = sorted({min(1.0, max(0.0, p + e)) for p in points for e in (-2 / accuracy, 2 / accuracy)})
+    cuts = there.groupBy(F.col("_by").alias("_own")).agg(F.percentile_approx("_x", shares, accuracy).alias("_cuts"), F.count("*").alias("_all"))
+    place = lambda c: (F.col("_x") > c).cast("int") + (F.col("_x") >= c).cast("int")
+    # written out for a few cuts; for many, the code of it would be too long to be compiled
+    cell = sum(place(F.col("_cuts")[i]) for i in range(len(shares))) if len(shares) <= 4 else F.aggregate("_cuts", F.lit(0), lambda s, c: s + place(c))
+    marked = there.join(F.broadcast(cuts), F.col("_by").eqNullSafe(F.col("_own"))).select("_by", "_x", "_all", cell.alias("_cell"))  # a row for each group
+    upto = F.sum("_n").over(Window.partitionBy("_by").orderBy("_cell"))  # a row for each cell
+    counts = marked.groupBy("_by", "_cell").agg(F.count("*").alias("_n"), F.max("_all").alias("_all")).withColumn("_to", upto)
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(Decimal(repr(float(p)))).cast("decimal(17,15)").alias("p")) for i, p in enumerate(points)])).alias("_at")
+    rank = F.greatest(F.ceil(F.col("_all").cast("decimal(19,0)") * F.col("_at.p")).cast("long"), F.lit(1).cast("long"))
+    wanted = counts.select("*", asked).select(F.col("_by").alias("_own"), F.col("_cell").alias("_in"), F.col("_at.i").alias("_i"), (rank - F.col("_to") + F.col("_n")).alias("_rank"), "_n").where("_rank > 0 and _rank <= _n").drop("_n")
+    cells = wanted.select("_own", "_in").distinct()
+    same = F.col("_by").eqNullSafe(F.col("_own")) & (F.col("_cell") == F.col("_in"))
+    few = marked.join(F.broadcast(cells), same).groupBy("_by", "_cell", "_x").agg(F.count("*").alias("_n"))
+    last = few.withColumn("_to", F.sum("_n").over(Window.partitionBy("_by", "_cell").orderBy("_x")))
+    found = last.join(F.broadcast(wanted), same & (F.col("_rank") <= F.col("_to")) & (F.col("_rank") > F.col("_to") - F.col("_n")))
+    return found.groupBy(F.col("_by").alias(by)).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda v: v["_x"]).alias("values"))  # a value for each point
+
+
 def summaries(rows: DataFrame, date: Column, fields: Sequence[str], ranges: DataFrame, top: int = 10, points: Sequence[float] = POINTS) -> DataFrame:
     """For each range: count, and of each field average, population deviation, median, largest values and percentiles.
 
@@ -36,12 +64,12 @@ def summaries(rows: DataFrame, date: Column, fields: Sequence[str], ranges: Data
     inside = rows.join(F.broadcast(ranges), (date >= F.col("lo")) & (date < F.col("hi")))  # a row for each range
     aggs = [F.count("*").alias("count")]
     for f in fields:
-        disc = ", ".join(f"percentile_disc({p}) within group (order by {f})" for p in points)
-        aggs += [
-            F.bround(F.avg(f), 0).cast("long").alias(f"{f}_avg"), F.bround(F.stddev_pop(f), 0).cast("long").alias(f"{f}_std"),
-            F.expr(f"percentile_disc(0.5) within group (order by {f})").alias(f"{f}_median"), F.expr(f"array({disc})").alias(f"{f}_percentile"),
-        ]
+        aggs += [F.bround(F.avg(f), 0).cast("long").alias(f"{f}_avg"), F.bround(F.stddev_pop(f), 0).cast("long").alias(f"{f}_std")]
     out = inside.groupBy("range_start").agg(*aggs)
+    for f in fields:
+        none = F.array_repeat(F.lit(None).cast(inside.schema[f].dataType), len(points))
+        values = percentiles_disc(inside, "range_start", f, [0.5, *points])
+        out = out.join(values, "range_start", "left").withColumns({f"{f}_median": F.col("values")[0], f"{f}_percentile": F.coalesce(F.slice("values", 2, len(points)), none)}).drop("values")
     for f in fields:
         w = Window.partitionBy("range_start").orderBy(F.desc_nulls_last(f))
         best = inside.where(F.col(f).isNotNull()).select("range_start", f).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top)
@@ -72,10 +100,12 @@ def bucket(x: Column, edges: Sequence[float] = EDGES) -> Column:
 def ratio_buckets(rows: DataFrame, views: str, field: str, edges: Sequence[float] = EDGES, digits: int = 4) -> DataFrame:
     """By bucket of views: extremes and count of views, and average, deviation, median of the field's share in percent."""
     r = rows.select(F.col(views).alias("_v"), ratio(F.col(field), F.col(views)).alias("_r")).withColumn("bucket", bucket(F.col("_v"), edges))
-    return r.groupBy("bucket").agg(
+    out = r.groupBy("bucket").agg(
         F.min("_v").alias("view_min"), F.max("_v").alias("view_max"), F.count("*").alias("count"), F.bround(F.avg("_r"), digits).alias("ratio_avg"),
-        F.bround(F.stddev_pop("_r"), digits).alias("ratio_std"), F.bround(F.expr("percentile_disc(0.5) within group (order by _r)"), digits).alias("ratio_median"),
+        F.bround(F.stddev_pop("_r"), digits).alias("ratio_std"),
     )
+    medians = percentiles_disc(r, "bucket", "_r", [0.5]).select("bucket", F.bround(F.col("values")[0], digits).alias("ratio_median"))
+    return out.join(medians, "bucket", "left")
 
 
 def group_counts(rows: DataFrame, *keys: str) -> DataFrame:
