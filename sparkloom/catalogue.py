@@ -431,13 +431,8 @@ def lsh_hex(spark, d):
 with c as (select id, list_reduce(list_transform(string_split(bits, ''), lambda x: x::bigint), lambda a, x: a * 2 + x) as v from {_BITS})
 select query, id, hamming from (select *, row_number() over (partition by query order by hamming, id) as k from (select a.id as query, b.id as id, bit_count(xor(a.v, b.v))::bigint as hamming from c a, c b where a.id % 100 = 0 and a.id <> b.id)) where k <= 5""")
 def hamming_topk(spark, d):
-    from pyspark.sql import Window
-
     codes = hashing.lsh(_vectors(spark, d), _planes(spark, d))
-    asked = codes.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("code").alias("own"))
-    pairs = codes.join(F.broadcast(asked), F.col("id") != F.col("query"))  # the stated query set
-    near = pairs.withColumn("hamming", V.hamming(F.col("own"), F.col("code")))
-    return near.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy("hamming", "id"))).where("k <= 5").select("query", "id", "hamming")
+    return hashing.nearest_codes(codes.where("id % 100 = 0"), codes, 5).select("query", "id", "hamming")
 
 
 @query(f"select i::int as bit, round(avg(substr(bits, i + 1, 1)::int), 9) as mean from {_BITS}, (select unnest(generate_series(0, 31)) as i) group by i")

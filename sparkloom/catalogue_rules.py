@@ -377,7 +377,7 @@ l as (select q, list(id order by k) as pos_ids from r where k <= 3 group by q),
 select n.i as sample_idx, n.q as anchor, n.pos_ids, coalesce(b.q, c.q) as neg_id from n left join n b on b.i = n.i - 1 left join n c on c.i = 1 and n.i = 0""")
 def triplets(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return neighbours.triplets(rows, 3, "id")
+    return neighbours.triplets(rows, 3, "id", digits=12)
 
 
 # --- files -----------------------------------------------------------------------------------------------------------

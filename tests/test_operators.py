@@ -295,3 +295,27 @@ def test_exact_percentiles_by_cells(spark):
     lines = spark.createDataFrame([(float(v), float(f)) for v, f in rng.uniform(1, 5000, (400, 2))], "v double, f double")
     for found in (stats.ratio_buckets(lines, "v", "f"), stats.summaries(lines.withColumn("d", F.lit("2020-05-05").cast("date")), F.col("d"), ["f"], stats.ranges_table(spark, [(dt.date(2020, 1, 1), dt.date(2021, 1, 1))]))):
         assert "percentile_disc" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_codes_with_ties(spark):
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 2, (300, 20)).astype(np.uint8)
+    x[50:90] = x[7]
+    for ids in (list(range(300)), [f"n{i}" for i in range(300)]):
+        df = spark.createDataFrame([(i, np.packbits(v).tobytes().hex()) for i, v in zip(ids, x)], f"id {'int' if ids[0] == 0 else 'string'}, code string").repartition(3)
+        far = (x[:, None] != x[None]).sum(axis=2)
+        asked = range(0, 300, 10)
+        want = sorted([(ids[q], j, int(h), n + 1) for q in asked for n, (h, j) in enumerate(sorted((far[q, t], ids[t]) for t in range(300) if t != q)[:5])])
+        for block in (8192, 7):
+            found = hashing.nearest_codes(df.where(F.col("id").isin([ids[q] for q in asked])), df, 5, block=block)
+            assert sorted(map(tuple, found.collect())) == want
+        assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_with_equal_vectors(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((60, 8))
+    x[20:50] = x[3] * rng.uniform(0.5, 2, (30, 1))  # equal but for rounding
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vector array<double>").repartition(4)
+    found = neighbours.nearest(df.where("id in (3, 30)"), df, 4, digits=12)
+    assert {q: [r["id"] for r in sorted(found.where(f"query = {q}").collect(), key=lambda r: r["rank"])] for q in (3, 30)} == {3: [20, 21, 22, 23], 30: [3, 20, 21, 22]}
