@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: documents that are counted at a time
-DOCS = 2000
+#: words, in whole documents, that are counted at a time
+WORDS = 200_000
 PERCENTS = (0.0, 0.05, 0.1, 0.25, 0.5, 0.75, 0.8, 0.85, 0.9, 0.95, 0.98, 0.99, 1.0)
 
 
@@ -25,28 +25,33 @@ def frequencies(docs: DataFrame, words: Column, *by: str) -> DataFrame:
     kinds = dict(docs.dtypes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS):
-                part = batch.slice(at, DOCS)
-                lists = part.column("_words")
-                flat = lists.flatten()
+            lists = batch.column("_words")
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+            # documents of about WORDS words at a time
+            cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // WORDS, prepend=-1))
+            for at, to in zip(cuts, [*cuts[1:], batch.num_rows]):
+                part = batch.slice(at, to - at)
+                flat = part.column("_words").flatten()
                 if not len(flat):
                     continue
                 coded = flat.dictionary_encode()
-                code, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
-                rows = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()) if not lists.null_count else np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+                code, n = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
+                rows = np.repeat(np.arange(part.num_rows), sizes[at:to])
                 group = np.zeros(part.num_rows, np.int64)
                 for c in by:
                     own = part.column(c).dictionary_encode(null_encoding="encode")
                     group = np.unique(group * (len(own.dictionary) + 1) + own.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
-                place = group[rows] * n + code
-                keys, first, terms = np.unique(place, return_index=True, return_counts=True)
-                # one for each word of a document
-                once = np.unique(rows * n + code)
-                found = np.searchsorted(keys, group[once // n] * n + once % n)
-                docs_ = np.bincount(found, minlength=len(keys))
-                taken = pa.array(rows[first])
+                # one for each word of a document, with how often it is there
+                once, times = np.unique(rows * n + code, return_counts=True)
+                keys, first, found = np.unique(group[once // n] * n + once % n, return_index=True, return_inverse=True)
+                docs_, terms = np.bincount(found, minlength=len(keys)), np.bincount(found, weights=times, minlength=len(keys))
+                taken = pa.array(once[first] // n)
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(taken) for c in by), coded.dictionary.take(pa.array(keys % n)), pa.array(docs_.astype(np.int64)), pa.array(terms.astype(np.int64))], [*by, "token", "d", "n"])
+            # so that a worker holds one batch, not two, and gives back what it is done with
+            batch = lists = part = flat = coded = code = rows = once = times = keys = first = found = taken = own = None
+            pool.release_unused()
 
     schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + "token string, d long, n long"
     flat = docs.select(*by, words.alias("_words")).mapInArrow(count, schema)
