@@ -269,11 +269,8 @@ def flag_counts_simple(spark, d):
 
 def _pieces(spark, d) -> DataFrame:
     """Vocabularies of the languages: ranked by frequency, scored by its logarithm; Spanish counts as the wiki."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang").orderBy(F.desc("term_freq"), "token")
-    f = _freq(spark, d, "lang")
-    return f.select(F.col("lang").alias("source"), (F.col("lang") == "es").alias("is_wiki"), (F.row_number().over(w) - 1).alias("rank"), F.col("token").alias("piece"), F.log(F.col("term_freq").cast("double")).alias("score"))
+    f = relations.numbered(_freq(spark, d, "lang"), [F.desc("term_freq"), F.col("token")], "lang", "rank")
+    return f.select(F.col("lang").alias("source"), (F.col("lang") == "es").alias("is_wiki"), F.col("rank").cast("int").alias("rank"), F.col("token").alias("piece"), F.log(F.col("term_freq").cast("double")).alias("score"))
 
 
 _PIECES = f"(select lang as source, lang = 'es' as is_wiki, row_number() over (partition by lang order by term_freq desc, token) - 1 as rank, token as piece, ln(term_freq) as score from {LANG})"

@@ -6,9 +6,6 @@ begin with the character that ended the one before) or by comparing characters.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -383,19 +380,9 @@ def triplets(spark, d):
 # --- files -----------------------------------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), f"sparkloom-{spark.sparkContext.applicationId}")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"select token as word, doc_freq, term_freq from {FREQ}")
 def frequencies_round_trip(spark, d):
-    path = _folder(spark, "frequencies")
+    path = tables.new_folder(spark, "frequencies")
     tables.write_frequencies(_freq(spark, d), path)
     back = tables.read_frequencies(spark, path)
     return back.select(F.col(back.columns[0]).alias("word"), F.col("doc_freq").cast("long").alias("doc_freq"), F.col("term_freq").cast("long").alias("term_freq"))
@@ -403,7 +390,7 @@ def frequencies_round_trip(spark, d):
 
 @query("select doc_id, lang from documents union all select doc_id, lang from documents where lang = 'en'")
 def dataset_round_trip(spark, d):
-    path = _folder(spark, "dataset")
+    path = tables.new_folder(spark, "dataset")
     docs = _docs(spark, d).select("doc_id", "lang")
     tables.append(docs, path)
     tables.append(docs.where("lang = 'en'"), path)
@@ -412,7 +399,7 @@ def dataset_round_trip(spark, d):
 
 @query("select vec_id as sample_idx, label from embeddings where vec_id between 30 and 149")
 def samples_round_trip(spark, d):
-    path = _folder(spark, "samples")
+    path = tables.new_folder(spark, "samples")
     tables.write_samples(table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_idx"), "label"), path, 40)
     return tables.read_samples(spark, path, 30, 150, 40).select("sample_idx", "label")
 

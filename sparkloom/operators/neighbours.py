@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import relations
+
 #: vectors of a block of queries: 8,192 x 1,024 floats are 64 MB
 BLOCK = 8192
 #: rows that meet a block at a time: 8,192 x 512 doubles are 32 MB
@@ -155,8 +157,7 @@ def triplets(rows: DataFrame, positives: int, order: str, id_: str = "id", vecto
     lists = near.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", id_))), lambda x: x[id_]).alias("pos_ids"))
     full = lists.where(F.size("pos_ids") == positives)  # `positives` values
     at = rows.select(F.col(id_).alias("query"), F.col(order).alias("_order")).join(full, "query")
-    w = Window.orderBy("_order", "query")
-    numbered = at.withColumn("sample_idx", (F.row_number().over(w) - 1).cast("long"))
+    numbered = relations.numbered(at.select("query", "pos_ids", "_order"), [F.col("_order"), F.col("query")], name="sample_idx")
     # the neighbour in order is an equi-join on the number, so only ids go through the ordered window
     other = numbered.select((F.col("sample_idx") + 1).alias("sample_idx"), F.col("query").alias("_before"))
     second = numbered.where("sample_idx = 1").select(F.lit(0).cast("long").alias("sample_idx"), F.col("query").alias("_after"))

@@ -131,12 +131,30 @@ def ranked_picks(rows: DataFrame, by: str, order: Sequence[Column], picks: Seque
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(picks)).where(F.col("rank").isin(list(picks)))
 
 
-def stratified(rows: DataFrame, n: int, order: Sequence[Column], id_: str, seed: int) -> DataFrame:
-    """One row of each of n rank intervals of equal size, by a seeded hash."""
+def numbered(rows: DataFrame, order: Sequence[Column], by: str | None = None, name: str = "_rank") -> DataFrame:
+    """Adds the place of each row from 0 in the order, of all rows or of those of its group, without one task for a group.
+
+    The rows are sorted into slices, stored with the number of their slice, counted by slice, and numbered within it.
+    """
     from pyspark.sql import Window
 
-    ranked = rows.withColumn("_r", F.row_number().over(Window.orderBy(*order)) - 1).crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))
-    cut = ranked.withColumn("stratum", F.floor(F.col("_r") * n / F.col("_n")))
+    from ..sources import tables
+
+    own = F.col(by) if by else F.lit(0)
+    n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sliced = tables.stored(rows.repartitionByRange(n, *([own] if by else []), *order).withColumn("_slice", F.spark_partition_id()), "slices")
+    counts = sliced.groupBy(own.alias("_own"), F.col("_slice").alias("_at")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_own").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(counts.select("_own", "_at", before.alias("_before")))  # a row for each slice and group in it
+    place = F.row_number().over(Window.partitionBy("_slice", own).orderBy(*order)) - 1
+    out = sliced.withColumn("_place", place).join(offsets, (F.col("_slice") == F.col("_at")) & own.eqNullSafe(F.col("_own")))
+    return out.select(*rows.columns, (F.col("_place") + F.col("_before")).alias(name))
+
+
+def stratified(rows: DataFrame, n: int, order: Sequence[Column], id_: str, seed: int) -> DataFrame:
+    """One row of each of n rank intervals of equal size, by a seeded hash."""
+    ranked = numbered(rows, order, name="_r")
+    cut = ranked.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("_n")))).withColumn("stratum", F.floor(F.col("_r") * n / F.col("_n")))  # one row
     rest = [c for c in rows.columns]
     return cut.groupBy("stratum").agg(F.min_by(F.struct(*rest), F.struct(F.xxhash64(F.lit(seed), id_), F.col(id_))).alias("_x")).select("stratum", "_x.*")
 

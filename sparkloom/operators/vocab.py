@@ -72,20 +72,28 @@ def flag_samples(tokens: DataFrame, token: str = "token", most: int = 25) -> Dat
 
 def rank_normalised(pieces: DataFrame, keep: float = 0.9) -> DataFrame:
     """(source, is_wiki, rank from 0, piece, score) with rank_score, 1 for the first down to 0, and norm_score, for the top share of each source."""
-    w = Window.partitionBy("source")
-    top = pieces.withColumn("_n", F.greatest(F.floor(F.count("*").over(w) * keep), F.lit(1))).where(F.col("rank") < F.col("_n"))
-    low, high = F.min("score").over(w), F.max("score").over(w)
-    return top.withColumns({
+    kept = F.greatest(F.floor(F.count("*") * keep), F.lit(1)).alias("_n")
+    counts = pieces.groupBy(F.col("source").alias("_own")).agg(kept)  # a row for each vocabulary, as below
+    top = pieces.join(F.broadcast(counts), F.col("source").eqNullSafe(F.col("_own")) & (F.col("rank") < F.col("_n"))).drop("_own")
+    bounds = top.groupBy(F.col("source").alias("_own")).agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+    return top.join(F.broadcast(bounds), F.col("source").eqNullSafe(F.col("_own"))).withColumns({
         "rank_score": 1 - F.col("rank") / F.greatest(F.col("_n") - 1, F.lit(1)),
-        "norm_score": (F.col("score") - low) / F.greatest(high - low, F.lit(1e-6)),
-    }).drop("_n")
+        "norm_score": (F.col("score") - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-6)),
+    }).drop("_n", "_own", "_low", "_high")
 
 
 def aggregate_pieces(ranked: DataFrame) -> DataFrame:
+    """One row for each piece: means, best rank, and how many sources have it; first by source, after one shuffle by piece."""
     wiki = F.col("is_wiki")
-    return ranked.groupBy("piece").agg(
-        F.avg("rank_score").alias("avg_rank"), F.avg("norm_score").alias("avg_norm"), F.max("rank_score").alias("best_rank"), F.count("*").alias("occurrences"),
-        F.count_distinct("source").alias("sources"), F.count_distinct(F.when(~wiki, F.col("source"))).alias("videos"), F.count_distinct(F.when(wiki, F.col("source"))).alias("wikis"),
+    sums = [f(c).alias(f"_{n}_{c}") for c in ("rank_score", "norm_score") for n, f in (("s", F.sum), ("n", F.count))]
+    own = ranked.select("piece", "source", "is_wiki", "rank_score", "norm_score").repartition("piece").groupBy("piece", "source").agg(
+        *sums, F.max("rank_score").alias("_best"), F.count("*").alias("_all"), F.max(F.when(~wiki, 1)).alias("_video"), F.max(F.when(wiki, 1)).alias("_wiki")
+    )
+    mean = lambda c: F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}"))
+    known = lambda c: F.count(F.when(F.col("source").isNotNull(), F.col(c)))
+    return own.groupBy("piece").agg(
+        mean("rank_score").alias("avg_rank"), mean("norm_score").alias("avg_norm"), F.max("_best").alias("best_rank"), F.sum("_all").alias("occurrences"),
+        F.count("source").alias("sources"), known("_video").alias("videos"), known("_wiki").alias("wikis"),
     )
 
 
@@ -129,12 +137,13 @@ def merge_round_robin(freqs: DataFrame, unique: int, source: str = "source", key
     count by round, and no row is visited in sequence.
     """
     w = Window.partitionBy(source).orderBy(F.desc("doc_freq"), F.desc("term_freq"), key)
-    ranked = freqs.withColumn("_round", F.row_number().over(w))
-    # no more than `unique` rounds are needed, as each brings a token of some source for the first time, or ends it
+    # a source gives as many tokens as it has had rounds, so `unique` rounds are enough, or no source has more rows; Spark takes
+    # the first rows of each task before the shuffle
+    ranked = freqs.withColumn("_round", F.row_number().over(w)).where(F.col("_round") <= unique)
     first = ranked.groupBy(key).agg(F.min("_round").alias("_round"))
     by_round = first.groupBy("_round").agg(F.count("*").alias("_new"))
     seen = F.sum("_new").over(Window.orderBy("_round"))
-    last = by_round.where(F.col("_round") <= unique).withColumn("_seen", seen).agg(F.coalesce(F.min(F.when(F.col("_seen") >= unique, F.col("_round"))), F.lit(2**31 - 1)).alias("_last"))
+    last = by_round.withColumn("_seen", seen).agg(F.coalesce(F.min(F.when(F.col("_seen") >= unique, F.col("_round"))), F.lit(2**31 - 1)).alias("_last"))
     visited = ranked.join(F.broadcast(last), F.col("_round") <= F.col("_last"))  # one row
     return visited.groupBy(key).agg(F.sum("doc_freq").alias("doc_freq"), F.sum("term_freq").alias("term_freq"))
 

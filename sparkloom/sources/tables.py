@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -21,6 +23,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), f"sparkloom-{spark.sparkContext.applicationId}")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to a new shared folder and read back: computed once."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dataset(spark: SparkSession, folder: str, prefix: str = "", schema: str | None = None) -> DataFrame:
     """All Parquet files under a folder whose names start with a prefix."""
     reader = spark.read.schema(schema) if schema else spark.read

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors as V
@@ -319,3 +320,21 @@ def test_nearest_with_equal_vectors(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vector array<double>").repartition(4)
     found = neighbours.nearest(df.where("id in (3, 30)"), df, 4, digits=12)
     assert {q: [r["id"] for r in sorted(found.where(f"query = {q}").collect(), key=lambda r: r["rank"])] for q in (3, 30)} == {3: [20, 21, 22, 23], 30: [3, 20, 21, 22]}
+
+
+def test_numbered_in_slices(spark):
+    rng = np.random.default_rng(11)
+    data = [(g, int(x), f"k{i}") for i, (g, x) in enumerate(zip(rng.choice(["a", "b", None], 500), rng.integers(0, 6, 500)))]
+    df = spark.createDataFrame(data, "g string, x int, k string").repartition(3)
+    for by in (None, "g"):
+        found = relations.numbered(df, [F.desc("x"), F.col("k")], by)
+        want = {}
+        for g in {r[0] for r in data} if by else [0]:
+            want |= {r[2]: i for i, r in enumerate(sorted((r for r in data if not by or r[0] == g), key=lambda r: (-r[1], r[2])))}
+        assert {r["k"]: r["_rank"] for r in found.collect()} == want
+    df = df.where("g is not null").select(F.col("g").alias("source"), (F.col("g") == "b").alias("is_wiki"), (F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1).alias("rank"), F.col("k").alias("piece"), F.col("x").cast("double").alias("score"))
+    plan = lambda t: t._jdf.queryExecution().optimizedPlan().toString()
+    # none of these has a window over all rows, or all of a source, besides the one above
+    assert plan(vocab.rank_normalised(df.localCheckpoint())).count("Window") == 0
+    strata = relations.stratified(df.select("piece"), 5, [F.col("piece")], "piece", 3)
+    assert strata.count() == 5 and "windowspecdefinition(piece" not in plan(strata)
