@@ -44,12 +44,16 @@ def mask_letter_spaces(c: Column) -> Column:
 
 
 def non_words_to_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)[^{HAN}〇{ALNUM}_.\\-{MASK}]+|\\.+(?!\\d)|[丨・]+", " ")
+    """A space for each run of characters outside of words.
+
+    The usual letters, and single spaces before them, which would stay as they are, are passed over before the classes are tried.
+    """
+    return F.regexp_replace(c, f"(?U)(?! ?[a-z0-9])(?:[^{HAN}〇{ALNUM}_.\\-{MASK}]+|\\.+(?!\\d)|[丨・]+)", " ")
 
 
 def drop_numbers(c: Column) -> Column:
-    """Removes digits with a prefix or unit, and digits that stand alone."""
-    return F.regexp_replace(c, f"(?U){DIGIT_PREFIX}?\\d+{UNIT}|(?:^|\\b)\\d+(?:\\b|$)", "")
+    """Removes digits with a prefix or unit, and digits that stand alone; what begins with neither isn't tried."""
+    return F.regexp_replace(c, f"(?U)(?=[\\d{DIGIT_PREFIX[1:-1]}])(?:{DIGIT_PREFIX}?\\d+{UNIT}|(?:^|\\b)\\d+(?:\\b|$))", "")
 
 
 def drop_spaces_in_han(c: Column) -> Column:
